@@ -9,48 +9,84 @@ the same ids. Chunks repeat, so a bounded memo turns most of them into one looku
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r" \s|\s ")
+_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]+)")
 
 
 def chunks(text: str) -> list[str]:
-    """Chunks of ``text``, in order; joined they give the text. Empty for an empty text."""
+    """Chunks of ``text``, in order; joined by single spaces they give the text. Empty for an empty text.
+
+    All but the first stand without the space that they begin with.
+    """
     if not text:
         return []
-    first, *rest = _CUT.split(text)
-    return [first, *[" " + x for x in rest]]
+    if text[0] != " " and text[-1] != " " and not _ODD.search(text):
+        return text.split(" ")
+    return _CUT.split(text)
+
+
+def marks_apart(chunk: str) -> tuple[str, ...]:
+    """A word and the punctuation after it are two pre-tokens; any other chunk stays whole."""
+    m = _WORD_AND_MARKS.fullmatch(chunk)
+    return m.groups() if m else (chunk,)
 
 
 class Memo:
-    """A bounded memo of ``make`` over lists of new keys.
+    """A bounded memo of ``make`` over keys.
 
-    It has two generations: when the young one is full it becomes the old one and the
-    former old one goes, so keys that recur stay. The longest keys aren't kept.
+    It has two generations: a full young one becomes the old one and the former old one
+    goes, so keys that recur stay. Keys over ``longest`` characters aren't kept.
     """
 
-    def __init__(self, make, size: int = 150_000, longest: int = 64) -> None:
+    def __init__(self, make: Callable[[list[str]], list], size: int = 150_000, longest: int = 64) -> None:
         self.make, self.size, self.longest = make, size, longest
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def get(self, keys: list) -> dict:
-        """A dict with (at least) the values of all ``keys``; don't hold it over the next call."""
-        wanted = set(keys)
-        new = []
-        out = {}
-        for k in wanted:
-            v = self.young.get(k)
-            if v is None:
-                v = self.old.get(k)
-                if v is None:
-                    new.append(k)
-                    continue
-                self.young[k] = v
-            out[k] = v
-        if new:
-            made = dict(zip(new, self.make(new), strict=True))
-            out.update(made)
-            self.young.update((k, v) for k, v in made.items() if len(k) <= self.longest)
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.long: list[str] = []
+
+    def ready(self, keys: Iterable[str]) -> dict:
+        """A dict that has all ``keys``, until the next call."""
+        for k in self.long:
+            self.young.pop(k, None)
+        self.long = []
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        return out
+        missing = set(keys).difference(self.young)
+        if missing:
+            known = missing.intersection(self.old)
+            self.young.update((k, self.old[k]) for k in known)
+            new = list(missing - known)
+            self.young.update(zip(new, self.make(new), strict=True))
+            self.long = [k for k in new if len(k) > self.longest]
+        return self.young
+
+
+class ChunkMemo:
+    """Values of whole texts' chunks, made from those of pre-tokens by ``join``."""
+
+    def __init__(self, make: Callable[[list[str]], list], join: Callable[[list], object], size: int = 120_000) -> None:
+        self.join = join
+        self.parts = Memo(make, size)
+        self.inner = Memo(self._spaced, size)
+        self.first = Memo(self._made, 20_000)
+
+    def _spaced(self, keys: list[str]) -> list:
+        return self._made([" " + k for k in keys])
+
+    def _made(self, keys: list[str]) -> list:
+        split = [marks_apart(k) for k in keys]
+        made = self.parts.ready({p for s in split for p in s})
+        return [made[s[0]] if len(s) == 1 else self.join([made[p] for p in s]) for s in split]
+
+    def of(self, texts: list[str]) -> list[list]:
+        """For each text, the values of its chunks."""
+        cut = [chunks(t) for t in texts]
+        wanted: set[str] = set()
+        for c in cut:
+            wanted.update(c[1:])
+        inner = self.inner.ready(wanted).__getitem__
+        first = self.first.ready({c[0] for c in cut if c})
+        return [[first[c[0]], *map(inner, c[1:])] if c else [] for c in cut]

@@ -241,7 +241,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """Each text's ids as decimals joined by commas, and as a list."""
         parts = [words(t) for t in texts]
-        made = self.memo.get([w for p in parts for w in p])
+        made = self.memo.ready({w for p in parts for w in p})
         out = []
         for p in parts:
             both = [made[w] for w in p]

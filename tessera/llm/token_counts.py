@@ -35,9 +35,7 @@ def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int
 
 
 class JsonCounter:
-    """Pieces of pre-tokens for a tokenizers file."""
-
-    cut = staticmethod(chunks)
+    """Pre-tokens and their pieces for a tokenizers file."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -46,12 +44,17 @@ class JsonCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text; white space other than single spaces stays with its neighbours."""
+        parts = chunks(text)
+        return parts[:1] + [" " + x for x in parts[1:]]
+
     def pieces(self, keys: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
 
 
 class PieceCounter:
-    """Pieces of words for a sentencepiece file."""
+    """Words and their pieces for a sentencepiece file."""
 
     cut = staticmethod(words)
 
@@ -69,21 +72,23 @@ def counter(path: str) -> JsonCounter | PieceCounter:
 def count_block(texts: list[str], source, memo: Memo) -> np.ndarray:
     """Tokens of each text."""
     position: dict[str, int] = {}
-    place = position.setdefault
-    doc_sizes, keys = [], []
+    sizes, keys = [], []
     for t in texts:
         parts = source.cut(t)
-        doc_sizes.append(len(parts))
+        sizes.append(len(parts))
         keys += parts
-    at = np.fromiter((place(k, len(position)) for k in keys), np.int64, len(keys))
+    for k in keys:
+        if k not in position:
+            position[k] = len(position)
+    at = np.fromiter(map(position.__getitem__, keys), np.int64, len(keys))
     distinct = list(position)
-    made = memo.get(distinct)
-    pieces = np.fromiter((made[k] for k in distinct), np.int64, len(distinct))
-    doc = np.repeat(np.arange(len(texts)), doc_sizes)
-    # (document, pre-token) frequencies, then the join and the sum.
+    made = memo.ready(distinct)
+    pieces = np.fromiter(map(made.__getitem__, distinct), np.int64, len(distinct))
+    # (document, pre-token) frequencies, then the join with the pieces and the sum.
+    doc = np.repeat(np.arange(len(texts)), sizes)
     pair, frequency = np.unique(doc * max(len(distinct), 1) + at, return_counts=True)
     doc, at = np.divmod(pair, max(len(distinct), 1))
-    return np.bincount(doc, weights=frequency * pieces[at] if len(at) else None, minlength=len(texts)).astype(np.int64)
+    return np.bincount(doc, weights=frequency * pieces[at], minlength=len(texts)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.pretokens import chunks
+from tessera.llm.pretokens import Memo, chunks, marks_apart
 from tessera.llm.queries import tokenizer
 from tessera.llm.sentencepiece_codec import PieceModel, decode_pieces, encode_pieces, piece_digests, words
 from tessera.llm.token_counts import count_tokens
@@ -15,7 +15,7 @@ ODD = ["", " ", "  ", "a  b", " lead", "trail ", "\n\n x", "tab\t\tx \n y", "don
 
 def fuzz(n: int, seed: int) -> list[str]:
     rng = random.Random(seed)
-    bits = ["the", " ", "  ", "\n", "ing", "é", "▁", "12", "7", "!", "'s", "中", "\U0001f600", "e", "E", "<|endoftext|>", "\t", "ab", "aba", "́"]
+    bits = ["the", " ", ",", ".\n", "word,", "  ", "\n", "ing", "é", "▁", "12", "7", "!", "'s", "中", "\U0001f600", "e", "E", "<|endoftext|>", "\t", "ab", "aba", "́"]
     return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
@@ -47,9 +47,20 @@ def test_chunks_keep_ids():
 
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     for text in ODD + fuzz(400, 2):
-        assert "".join(chunks(text)) == text
+        assert " ".join(chunks(text)) == text
         whole = t.encode(text, add_special_tokens=False).ids
-        assert [i for c in chunks(text) for i in t.encode(c, add_special_tokens=False).ids] == whole, repr(text)
+        parts = [p for k, c in enumerate(chunks(text)) for p in marks_apart(" " + c if k else c)]
+        assert [i for p in parts for i in t.encode(p, add_special_tokens=False).ids] == whole, repr(text)
+
+
+def test_memo_keeps_values_right():
+    memo = Memo(lambda keys: [k + "!" for k in keys], size=5, longest=3)
+    rng = random.Random(9)
+    for _ in range(200):
+        keys = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 9))]
+        held = memo.ready(keys)
+        assert [held[k] for k in keys] == [k + "!" for k in keys]
+        assert len(memo.young) + len(memo.old) < 40
 
 
 def _docs(spark, texts):
