@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: str | None = None
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             _FALLBACK = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, _FALLBACK, ignore_errors=True)
         base = f"file://{_FALLBACK}"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -44,3 +46,12 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and files that this process has put into the shared folder.
+
+    Results that still read them must have been written elsewhere before.
+    """
+    while _MADE:
+        discard(spark, _MADE.pop())
