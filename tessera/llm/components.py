@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise, shared_dir
 
 MAX_ROUNDS = 60
 
@@ -36,13 +36,15 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     no row.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u != v").distinct()
-    now = materialise(now)
+    folder = shared_dir(edges.sparkSession)
+    now = materialise(now, f"{folder}/0")
     mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        after = materialise(_round(now))
+        after = materialise(_round(now), f"{folder}/{turn + 1}")
         before, mark, now = mark, _mark(after), after
+        discard(edges.sparkSession, f"{folder}/{turn}")
         if mark == before:
             break
     else:

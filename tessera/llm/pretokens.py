@@ -3,17 +3,23 @@
 The tokenizer's pattern starts a new pre-token at a single space between two characters
 that are no white space: what precedes can't end in that space, and ``' x...'`` starts
 there. So a text may be cut at each of these spaces and the chunks tokenized apart, with
-the same ids. Chunks repeat, so a bounded memo turns most of them into one lookup.
+the same ids. A block of texts is cut and reduced to its distinct chunks by Arrow; only
+these are handled one by one, and a bounded memo holds those that recur.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s ")
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]+)")
+_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|]*)")
 
 
 def chunks(text: str) -> list[str]:
@@ -21,17 +27,44 @@ def chunks(text: str) -> list[str]:
 
     All but the first stand without the space that they begin with.
     """
-    if not text:
-        return []
-    if text[0] != " " and text[-1] != " " and not _ODD.search(text):
-        return text.split(" ")
-    return _CUT.split(text)
+    return _CUT.split(text) if text else []
+
 
+@dataclass
+class Chunked:
+    """Distinct chunks of a block, with their spaces, and each text's chunks as places in that list.
 
-def marks_apart(chunk: str) -> tuple[str, ...]:
-    """A word and the punctuation after it are two pre-tokens; any other chunk stays whole."""
-    m = _WORD_AND_MARKS.fullmatch(chunk)
-    return m.groups() if m else (chunk,)
+    The chunks of text ``order[k]`` are ``at[starts[k]:starts[k + 1]]``.
+    """
+
+    distinct: list[str]
+    at: np.ndarray
+    starts: np.ndarray
+    order: np.ndarray
+
+
+def chunk_block(texts: list[str]) -> Chunked:
+    odd = [bool(t) and (t[0] == " " or t[-1] == " " or _ODD.search(t) is not None) for t in texts]
+    plain = [k for k, o in enumerate(odd) if not o and texts[k]]
+    rest = [k for k, o in enumerate(odd) if o]
+    empty = [k for k, t in enumerate(texts) if not t]
+    lists = [chunks(texts[k]) for k in rest]
+    cut = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+    sizes = np.r_[np.diff(cut.offsets.to_numpy()), [len(x) for x in lists], np.zeros(len(empty), np.int64)].astype(np.int64)
+    flat = pa.concat_arrays([cut.flatten(), pa.array([x for parts in lists for x in parts], pa.large_string())]) if rest else cut.flatten()
+    coded = flat.dictionary_encode()
+    at = coded.indices.to_numpy().astype(np.int64)
+    words = coded.dictionary.to_pylist()
+    starts = np.r_[0, np.cumsum(sizes)]
+    # A text's first chunk has no space before it, so it is another entry than the same word inside.
+    first = starts[:-1][sizes > 0]
+    distinct = [" " + w for w in words]
+    place: dict[int, int] = {}
+    for i in np.unique(at[first]).tolist():
+        place[i] = len(distinct)
+        distinct.append(words[i])
+    at[first] = [place[i] for i in at[first].tolist()]
+    return Chunked(distinct, at, starts, np.array(plain + rest + empty, np.int64))
 
 
 class Memo:
@@ -64,29 +97,71 @@ class Memo:
         return self.young
 
 
-class ChunkMemo:
-    """Values of whole texts' chunks, made from those of pre-tokens by ``join``."""
-
-    def __init__(self, make: Callable[[list[str]], list], join: Callable[[list], object], size: int = 120_000) -> None:
-        self.join = join
-        self.parts = Memo(make, size)
-        self.inner = Memo(self._spaced, size)
-        self.first = Memo(self._made, 20_000)
-
-    def _spaced(self, keys: list[str]) -> list:
-        return self._made([" " + k for k in keys])
-
-    def _made(self, keys: list[str]) -> list:
-        split = [marks_apart(k) for k in keys]
-        made = self.parts.ready({p for s in split for p in s})
-        return [made[s[0]] if len(s) == 1 else self.join([made[p] for p in s]) for s in split]
-
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text, the values of its chunks."""
-        cut = [chunks(t) for t in texts]
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c[1:])
-        inner = self.inner.ready(wanted).__getitem__
-        first = self.first.ready({c[0] for c in cut if c})
-        return [[first[c[0]], *map(inner, c[1:])] if c else [] for c in cut]
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in a byte-level vocabulary: printable Latin-1 as it is, others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class ChunkTokenizer:
+    """Ids of chunks by the tokenizers library.
+
+    A word and the punctuation marks after it are pre-tokens, so the library's model takes
+    each of them directly where the file has a byte-level pre-tokenizer without a prefix
+    space and no normalizer; all other chunks go through the whole library.
+    """
+
+    def __init__(self, path: str) -> None:
+        import json
+
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        config = json.loads(self.tokenizer.to_str())
+        pre = config.get("pre_tokenizer") or {}
+        # An added token made of letters would have to be found inside words.
+        special = any(_WORD_AND_MARKS.search(a["content"].strip()) and re.fullmatch(r"[\w.,;:!?|]+", a["content"]) for a in config.get("added_tokens", []))
+        self.direct = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config.get("normalizer") and not special
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def _marks(self, marks: str) -> list[int]:
+        found = self.marks.get(marks)
+        if found is None:
+            found = [t.id for t in self.model.tokenize(marks)]
+            if len(marks) < 4:
+                self.marks[marks] = found
+        return found
+
+    def raw_ids(self, keys: list[str]) -> list[bytes]:
+        """Each chunk's ids as little-endian 32-bit integers."""
+        out: list = [b""] * len(keys)
+        direct, words, marks, rest = [], [], [], []
+        for k, key in enumerate(keys):
+            m = _WORD_AND_MARKS.fullmatch(key) if self.direct else None
+            if m is None:
+                rest.append(k)
+            else:
+                direct.append(k)
+                words.append(m[1])
+                marks.append(m[2])
+        # All words become byte letters in one go; the line end between them has a letter of its own.
+        lettered = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10]) if words else []
+        tokenize = self.model.tokenize
+        flat: list[int] = []
+        ends = []
+        for word, mark in zip(lettered, marks, strict=True):
+            flat += [t.id for t in tokenize(word)]
+            if mark:
+                flat += self._marks(mark)
+            ends.append(4 * len(flat))
+        raw, at = np.array(flat, "<u4").tobytes(), 0
+        for k, end in zip(direct, ends, strict=True):
+            out[k] = raw[at:end]
+            at = end
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([keys[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return out

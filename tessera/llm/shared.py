@@ -1,5 +1,5 @@
 """Shared tables and files, as the rest of the library keeps them."""
 
-from ..sources.shared import discard, materialise, shared_dir
+from ..sources.shared import discard, materialise, release, shared_dir
 
-__all__ = ["discard", "materialise", "shared_dir"]
+__all__ = ["discard", "materialise", "release", "shared_dir"]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Memo, chunks
+from .pretokens import Chunked, ChunkTokenizer, Memo, chunk_block
 from .sentencepiece_codec import PieceModel, words
 
 #: Characters of text handled at a time: bounds a worker's memory whatever the batch.
@@ -35,32 +35,29 @@ def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int
 
 
 class JsonCounter:
-    """Pre-tokens and their pieces for a tokenizers file."""
+    """Chunks and their pieces for a tokenizers file."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    cut = staticmethod(chunk_block)
 
-    def cut(self, text: str) -> list[str]:
-        """Pre-tokens of a text; white space other than single spaces stays with its neighbours."""
-        parts = chunks(text)
-        return parts[:1] + [" " + x for x in parts[1:]]
+    def __init__(self, path: str) -> None:
+        self.source = ChunkTokenizer(path)
 
     def pieces(self, keys: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+        return [len(x) // 4 for x in self.source.raw_ids(keys)]
 
 
 class PieceCounter:
     """Words and their pieces for a sentencepiece file."""
 
-    cut = staticmethod(words)
-
     def __init__(self, path: str) -> None:
         self.model = PieceModel(path)
 
+    def cut(self, texts: list[str]) -> Chunked:
+        parts = [words(t) for t in texts]
+        coded = pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
+        starts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+        return Chunked(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), starts, np.arange(len(texts)))
+
     def pieces(self, keys: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode_words(keys)]
 
@@ -69,25 +66,15 @@ def counter(path: str) -> JsonCounter | PieceCounter:
     return PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
 
 
-def count_block(texts: list[str], source, memo: Memo) -> np.ndarray:
+def count_block(texts: list[str], source: JsonCounter | PieceCounter, memo: Memo) -> np.ndarray:
     """Tokens of each text."""
-    position: dict[str, int] = {}
-    sizes, keys = [], []
-    for t in texts:
-        parts = source.cut(t)
-        sizes.append(len(parts))
-        keys += parts
-    for k in keys:
-        if k not in position:
-            position[k] = len(position)
-    at = np.fromiter(map(position.__getitem__, keys), np.int64, len(keys))
-    distinct = list(position)
-    made = memo.ready(distinct)
-    pieces = np.fromiter(map(made.__getitem__, distinct), np.int64, len(distinct))
+    block = source.cut(texts)
+    made = memo.ready(block.distinct)
+    pieces = np.fromiter(map(made.__getitem__, block.distinct), np.int64, len(block.distinct))
     # (document, pre-token) frequencies, then the join with the pieces and the sum.
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    pair, frequency = np.unique(doc * max(len(distinct), 1) + at, return_counts=True)
-    doc, at = np.divmod(pair, max(len(distinct), 1))
+    doc = np.repeat(block.order, np.diff(block.starts))
+    pair, frequency = np.unique(doc * max(len(pieces), 1) + block.at, return_counts=True)
+    doc, at = np.divmod(pair, max(len(pieces), 1))
     return np.bincount(doc, weights=frequency * pieces[at], minlength=len(texts)).astype(np.int64)
 
 

@@ -25,15 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import ChunkMemo
+from .pretokens import ChunkTokenizer, Memo, chunk_block
 from .shared import materialise, shared_dir
 from .simple8b import Coded, decode, encode
 from .token_counts import blocks
 
 MAGIC = b"TSR8B001"
-SEGMENT_IDS = 500_000
+SEGMENT_IDS = 1_000_000
 #: Characters of text encoded at a time.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint"
 
 
@@ -41,12 +41,12 @@ def _array(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
-def pack_segment(doc_ids: list, sizes: list[int], ids: np.ndarray) -> bytes:
+def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     coded = encode(ids)
     valid = np.fromiter((i is not None for i in doc_ids), np.uint8, len(doc_ids))
     known = np.fromiter((0 if i is None else i for i in doc_ids), np.int64, len(doc_ids))
     head = MAGIC + struct.pack("<5Q", len(doc_ids), coded.size, len(coded.words), len(coded.offsets) - 1, len(coded.escape_at))
-    return b"".join([head, _array(known, "<i8"), _array(valid, "u1"), _array(np.array(sizes), "<u8"), _array(coded.offsets, "<u8"), _array(coded.words, "<u8"), _array(coded.escape_at, "<u8"), _array(coded.escape_value, "<u8")])
+    return b"".join([head, _array(known, "<i8"), _array(valid, "u1"), _array(sizes, "<u8"), _array(coded.offsets, "<u8"), _array(coded.words, "<u8"), _array(coded.escape_at, "<u8"), _array(coded.escape_value, "<u8")])
 
 
 def read_segments(stream) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -81,19 +81,27 @@ class IdEncoder:
     """Ids of whole texts by the tokenizers library, through a memo of chunks."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo = ChunkMemo(self._make, b"".join)
-
-    def _make(self, keys: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        return [b"".join(values) for values in self.memo.of(texts)]
+        self.memo = Memo(ChunkTokenizer(path).raw_ids, 200_000)
+
+    def encode(self, texts: list[str], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per text): each text's ids and then ``end``."""
+        block = chunk_block(texts)
+        made = self.memo.ready(block.distinct)
+        values = [made[k] for k in block.distinct]
+        # One more chunk for the end of a text, then chunks become ids by gathering ranges.
+        sizes = np.r_[np.fromiter(map(len, values), np.int64, len(values)) // 4, len(end)]
+        pool = np.r_[np.frombuffer(b"".join(values), "<u4"), end]
+        at = np.insert(block.at, block.starts[1:], len(values))
+        starts = block.starts + np.arange(len(block.starts))
+        counts = np.add.reduceat(sizes[at], starts[:-1]) if len(texts) else np.zeros(0, np.int64)
+        back = np.empty(len(texts), np.int64)
+        back[block.order] = np.arange(len(texts))
+        if (np.diff(back) != 1).any():  # some texts were cut apart from the others
+            at = np.concatenate([at[starts[k] : starts[k + 1]] for k in back])
+            counts = counts[back]
+        first, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(n)
+        return pool[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -109,16 +117,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         part = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         path, out, n_docs, n_ids = f"{base}/ids/part-{part:06d}-{uuid.uuid4().hex}.tsr", None, 0, 0
-        encoder, end = IdEncoder(tokenizer_path), b"" if end_id is None else struct.pack("<I", end_id)
+        encoder, end = IdEncoder(tokenizer_path), np.array([] if end_id is None else [end_id], "<u4")
         doc_ids: list = []
-        raws: list[bytes] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         held = 0
 
         def flush() -> None:
-            ids = np.frombuffer(b"".join(raws), "<u4")
-            out.write(pack_segment(doc_ids, [len(r) // 4 for r in raws], ids))
+            out.write(pack_segment(doc_ids, np.concatenate(counts), np.concatenate(ids)))
             doc_ids.clear()
-            raws.clear()
+            counts.clear()
+            ids.clear()
 
         for batch in batches:
             if not batch.num_rows:
@@ -128,13 +137,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
                 out = store.open_output_stream(path)
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in blocks(texts, BLOCK_CHARS):
-                for key, raw in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
-                    doc_ids.append(key)
-                    raws.append(raw + end)
-                    held += len(raws[-1]) // 4
-                    if held >= SEGMENT_IDS:
-                        n_docs, n_ids, held = n_docs + len(doc_ids), n_ids + held, 0
-                        flush()
+                made, sizes = encoder.encode(texts[a:b], end)
+                doc_ids += keys[a:b]
+                counts.append(sizes)
+                ids.append(made)
+                held += len(made)
+                if held >= SEGMENT_IDS:
+                    n_docs, n_ids, held = n_docs + len(doc_ids), n_ids + held, 0
+                    flush()
         if out is not None:
             n_docs, n_ids = n_docs + len(doc_ids), n_ids + held
             if doc_ids:

@@ -32,7 +32,7 @@ def test_simple8b_edges():
 
 
 def test_segments():
-    raw = pack_segment([None, 5], [0, 3], np.array([1, 2, 70000])) + pack_segment([9], [1], np.array([7]))
+    raw = pack_segment([None, 5], np.array([0, 3]), np.array([1, 2, 70000])) + pack_segment([9], np.array([1]), np.array([7]))
     got = [(d, s.tolist(), i.tolist()) for d, s, i in read_segments(io.BytesIO(raw))]
     assert got == [([None, 5], [0, 3], [1, 2, 70000]), ([9], [1], [7])]
     with pytest.raises(ValueError):

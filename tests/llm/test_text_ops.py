@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.pretokens import Memo, chunks, marks_apart
+from tessera.llm.pretokens import ChunkTokenizer, Memo, chunk_block, chunks
 from tessera.llm.queries import tokenizer
 from tessera.llm.sentencepiece_codec import PieceModel, decode_pieces, encode_pieces, piece_digests, words
 from tessera.llm.token_counts import count_tokens
@@ -45,12 +46,16 @@ def test_decode_any_ids_matches_library():
 def test_chunks_keep_ids():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    t, source = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), ChunkTokenizer(tokenizer("byte_bpe_50k.json"))
     for text in ODD + fuzz(400, 2):
         assert " ".join(chunks(text)) == text
         whole = t.encode(text, add_special_tokens=False).ids
-        parts = [p for k, c in enumerate(chunks(text)) for p in marks_apart(" " + c if k else c)]
-        assert [i for p in parts for i in t.encode(p, add_special_tokens=False).ids] == whole, repr(text)
+        parts = [" " + c if k else c for k, c in enumerate(chunks(text))]
+        assert np.frombuffer(b"".join(source.raw_ids(parts)), "<u4").tolist() == whole, repr(text)
+    block = chunk_block([*ODD, *fuzz(50, 4)])
+    texts = [*ODD, *fuzz(50, 4)]
+    for k, doc in enumerate(block.order):
+        assert "".join(block.distinct[i] for i in block.at[block.starts[k] : block.starts[k + 1]]) == texts[doc]
 
 
 def test_memo_keeps_values_right():
