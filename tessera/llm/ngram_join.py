@@ -252,7 +252,9 @@ def _verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, texts: list[
 
 def _cells(docs: DataFrame, members: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """``id, links, lowest`` of each class in each of its cells."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Members grow with the input, so the plan is the same at any size: texts are dealt by id.
+    texts = texts.join(members.hint("merge"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = texts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text")
