@@ -10,7 +10,7 @@ these are handled one by one, and a bounded memo holds those that recur.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,21 +80,29 @@ class Memo:
         self.old: dict[str, object] = {}
         self.long: list[str] = []
 
-    def ready(self, keys: Iterable[str]) -> dict:
-        """A dict that has all ``keys``, until the next call."""
+    def values(self, keys: list[str]) -> list:
+        """The value of each key; keys are distinct."""
         for k in self.long:
             self.young.pop(k, None)
         self.long = []
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        missing = set(keys).difference(self.young)
-        if missing:
-            known = missing.intersection(self.old)
-            self.young.update((k, self.old[k]) for k in known)
-            new = list(missing - known)
-            self.young.update(zip(new, self.make(new), strict=True))
-            self.long = [k for k in new if len(k) > self.longest]
-        return self.young
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        new = []
+        for i in missing:
+            k = keys[i]
+            v = old.get(k)
+            if v is None:
+                new.append(i)
+            else:
+                young[k] = out[i] = v
+        if new:
+            for i, v in zip(new, self.make([keys[i] for i in new]), strict=True):
+                out[i] = young[keys[i]] = v
+            self.long = [keys[i] for i in new if len(keys[i]) > self.longest]
+        return out
 
 
 def _byte_letters() -> dict[int, str]:
@@ -139,24 +147,38 @@ class ChunkTokenizer:
     def raw_ids(self, keys: list[str]) -> list[bytes]:
         """Each chunk's ids as little-endian 32-bit integers."""
         out: list = [b""] * len(keys)
-        direct, words, marks, rest = [], [], [], []
+        direct, sizes, words, marks, rest = [], [], [], [], []
         for k, key in enumerate(keys):
-            m = _WORD_AND_MARKS.fullmatch(key) if self.direct else None
-            if m is None:
-                rest.append(k)
-            else:
+            if self.direct and key.isascii() and key[1:].isalpha() and (key[0] == " " or key[0].isalpha()):
                 direct.append(k)
+                sizes.append(1)
+                words.append(key)
+                marks.append("")
+                continue
+            lines = [_WORD_AND_MARKS.fullmatch(x) for x in key.split("\n")] if self.direct else [None]
+            # A line end between two lines of a word each is a pre-token; only the chunk's begin may have a space.
+            if not all(lines) or any(m[1][0] == " " for m in lines[1:]):
+                rest.append(k)
+                continue
+            direct.append(k)
+            sizes.append(len(lines))
+            for m in lines:
                 words.append(m[1])
                 marks.append(m[2])
         # All words become byte letters in one go; the line end between them has a letter of its own.
-        lettered = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10]) if words else []
-        tokenize = self.model.tokenize
+        newline = self.letters[10]
+        lettered = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(newline) if words else []
+        tokenize, parts = self.model.tokenize, zip(lettered, marks, strict=True)
         flat: list[int] = []
         ends = []
-        for word, mark in zip(lettered, marks, strict=True):
-            flat += [t.id for t in tokenize(word)]
-            if mark:
-                flat += self._marks(mark)
+        for size in sizes:
+            for line in range(size):
+                word, mark = next(parts)
+                if line:
+                    flat += self._marks(newline)
+                flat += [t.id for t in tokenize(word)]
+                if mark:
+                    flat += self._marks(mark)
             ends.append(4 * len(flat))
         raw, at = np.array(flat, "<u4").tobytes(), 0
         for k, end in zip(direct, ends, strict=True):

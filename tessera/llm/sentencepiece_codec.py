@@ -9,6 +9,7 @@ ranks before the merged one. Where one does, the word is encoded again, one merg
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -235,13 +236,14 @@ class Codec:
     """Encodes whole texts through a memo of words."""
 
     def __init__(self, path: str) -> None:
-        self.model = PieceModel(path)
+        self.model = model_of(path)
         self.memo = Memo(self.model.entries, 120_000)
 
     def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """Each text's ids as decimals joined by commas, and as a list."""
         parts = [words(t) for t in texts]
-        made = self.memo.ready({w for p in parts for w in p})
+        wanted = list({w for p in parts for w in p})
+        made = dict(zip(wanted, self.memo.values(wanted), strict=True))
         out = []
         for p in parts:
             both = [made[w] for w in p]
@@ -249,13 +251,24 @@ class Codec:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def model_of(path: str) -> PieceModel:
+    return PieceModel(path)
+
+
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """A worker keeps its codec, with the memo of words, from task to task."""
+    return Codec(path)
+
+
 def _texts(docs: DataFrame, names: list[str], fields: str, run, carry: list[str] | None, text_col: str) -> DataFrame:
     keep = [c for c in (docs.columns if carry is None else carry) if c not in names]
     schema = T.StructType([*docs.select(*keep).schema.fields, *T._parse_datatype_string(fields).fields])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = run()
-        for batch in source:
+        for batch in (whole.slice(at, 1024) for whole in source for at in range(0, whole.num_rows, 1024)):
             columns = step(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, t) for x, t in columns)], names=[*keep, *names])
 
@@ -275,7 +288,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", carry: lis
     from .token_counts import blocks
 
     def run():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def step(texts: list) -> list:
             texts = [t or "" for t in texts]
@@ -290,7 +303,7 @@ def decode_pieces(docs: DataFrame, path: str, ids_col: str = "ids", carry: list[
     """The columns ``carry`` plus ``decoded``: the text of the ids; null ids give an empty text."""
 
     def run():
-        model = PieceModel(path)
+        model = model_of(path)
         return lambda lists: [([model.decode(x or []) for x in lists], pa.string())]
 
     return _texts(docs, ["decoded"], "decoded string", run, carry, ids_col)
@@ -305,7 +318,7 @@ def piece_digests(docs: DataFrame, path: str, text_col: str = "text", carry: lis
     from .token_counts import blocks
 
     def run():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def step(texts: list) -> list:
             texts = [t or "" for t in texts]

@@ -55,7 +55,7 @@ def encode(values: np.ndarray) -> Coded:
     ends = np.full(rows, BLOCK, np.int64)
     if size % BLOCK:
         ends[-1] = size % BLOCK
-    selector = _selectors(_bits(grid[:, :BLOCK]).astype(np.int8))
+    selector = _selectors(_bits(grid).astype(np.int8))
     # Walk all blocks at once: each step places one word in every block that isn't finished.
     at, lane = np.zeros(rows, np.int64), np.arange(rows)
     lanes, places, chosen = [], [], []
@@ -85,18 +85,20 @@ def encode(values: np.ndarray) -> Coded:
 
 
 def _selectors(bits: np.ndarray) -> np.ndarray:
-    """For each place, the selector whose word would hold most values from there on."""
-    rows, n = bits.shape
-    out = np.full((rows, n), len(COUNTS) - 1, np.int8)
-    place = np.arange(n, dtype=np.int16)
+    """For each place, the selector whose word would hold most values from there on.
+
+    ``bits`` has _PAD columns of 0 behind each block, so the block's end limits no word.
+    The most bits in a window come from those in two shorter windows that cover it.
+    """
+    n = bits.shape[1] - _PAD
+    out = np.full((len(bits), n), len(COUNTS) - 1, np.int8)
+    most = {1: bits}
     for k in range(len(COUNTS) - 2, -1, -1):
-        small = bits <= WIDTHS[k]
-        if k < 2 and not small.any():
-            continue
-        # Next place of a value that is too wide; the block's end doesn't limit a word.
-        wide = np.where(small, np.int16(n + _PAD), place)
-        wide = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
-        out[wide - place >= COUNTS[k]] = k
+        count = COUNTS[k]
+        part = max(c for c in most if c < count)
+        width = most[part].shape[1] - (count - part)
+        most[count] = np.maximum(most[part][:, :width], most[part][:, count - part :])
+        np.putmask(out, most[count][:, :n] <= WIDTHS[k], np.int8(k))
     return out
 
 

@@ -8,6 +8,7 @@ and summed by document. Ids of a document never exist.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,9 @@ from .pretokens import Chunked, ChunkTokenizer, Memo, chunk_block
 from .sentencepiece_codec import PieceModel, words
 
 #: Characters of text handled at a time: bounds a worker's memory whatever the batch.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 5_000_000
+#: Rows taken from a batch at a time.
+SLICE_ROWS = 2048
 
 
 def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
@@ -62,15 +65,17 @@ class PieceCounter:
         return [len(x) for x in self.model.encode_words(keys)]
 
 
-def counter(path: str) -> JsonCounter | PieceCounter:
-    return PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+@functools.lru_cache(maxsize=1)
+def counter(path: str) -> tuple[JsonCounter | PieceCounter, Memo]:
+    """A file's counter and its memo; a worker keeps them from task to task."""
+    source = PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+    return source, Memo(source.pieces, 200_000)
 
 
 def count_block(texts: list[str], source: JsonCounter | PieceCounter, memo: Memo) -> np.ndarray:
     """Tokens of each text."""
     block = source.cut(texts)
-    made = memo.ready(block.distinct)
-    pieces = np.fromiter(map(made.__getitem__, block.distinct), np.int64, len(block.distinct))
+    pieces = np.array(memo.values(block.distinct), np.int64)
     # (document, pre-token) frequencies, then the join with the pieces and the sum.
     doc = np.repeat(block.order, np.diff(block.starts))
     pair, frequency = np.unique(doc * max(len(pieces), 1) + block.at, return_counts=True)
@@ -92,14 +97,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     schema = docs.select(*keep).withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = counter(path)
-        memo = Memo(source.pieces)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            counts = [count_block(texts[a:b], source, memo) for a, b in blocks(texts)]
-            n_tokens = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_bytes), pa.array(n_tokens)], names=[*keep, "n_bytes", "n_tokens"])
+        source, memo = counter(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                texts = [t or "" for t in batch.column(text_col).to_pylist()]
+                n_tokens = np.concatenate([count_block(texts[a:b], source, memo) for a, b in blocks(texts)])
+                n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_bytes), pa.array(n_tokens)], names=[*keep, "n_bytes", "n_tokens"])
 
     out = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

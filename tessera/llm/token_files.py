@@ -13,6 +13,7 @@ files of tasks that ended are in it, so what a lost or repeated task left is nev
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from .pretokens import ChunkTokenizer, Memo, chunk_block
 from .shared import materialise, shared_dir
 from .simple8b import Coded, decode, encode
-from .token_counts import blocks
+from .token_counts import SLICE_ROWS, blocks
 
 MAGIC = b"TSR8B001"
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 400_000
 #: Characters of text encoded at a time.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 5_000_000
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint"
 
 
@@ -86,8 +87,7 @@ class IdEncoder:
     def encode(self, texts: list[str], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text): each text's ids and then ``end``."""
         block = chunk_block(texts)
-        made = self.memo.ready(block.distinct)
-        values = [made[k] for k in block.distinct]
+        values = self.memo.values(block.distinct)
         # One more chunk for the end of a text, then chunks become ids by gathering ranges.
         sizes = np.r_[np.fromiter(map(len, values), np.int64, len(values)) // 4, len(end)]
         pool = np.r_[np.frombuffer(b"".join(values), "<u4"), end]
@@ -104,6 +104,12 @@ class IdEncoder:
         return pool[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> IdEncoder:
+    """A worker keeps its encoder, with the memo, from task to task."""
+    return IdEncoder(path)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Write the files; returns the manifest ``part, path, n_docs, n_ids``, ordered by part.
 
@@ -117,7 +123,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         part = TaskContext.get().partitionId()
         store, base = fs.FileSystem.from_uri(folder)
         path, out, n_docs, n_ids = f"{base}/ids/part-{part:06d}-{uuid.uuid4().hex}.tsr", None, 0, 0
-        encoder, end = IdEncoder(tokenizer_path), np.array([] if end_id is None else [end_id], "<u4")
+        encoder, end = encoder_of(tokenizer_path), np.array([] if end_id is None else [end_id], "<u4")
         doc_ids: list = []
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -135,16 +141,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             if out is None:
                 store.create_dir(f"{base}/ids", recursive=True)
                 out = store.open_output_stream(path)
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in blocks(texts, BLOCK_CHARS):
-                made, sizes = encoder.encode(texts[a:b], end)
-                doc_ids += keys[a:b]
-                counts.append(sizes)
-                ids.append(made)
-                held += len(made)
-                if held >= SEGMENT_IDS:
-                    n_docs, n_ids, held = n_docs + len(doc_ids), n_ids + held, 0
-                    flush()
+            # A few rows at a time, so that long documents never pile up.
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                few = batch.slice(at, SLICE_ROWS)
+                keys, texts = few.column(0).to_pylist(), [t or "" for t in few.column(1).to_pylist()]
+                for a, b in blocks(texts, BLOCK_CHARS):
+                    made, sizes = encoder.encode(texts[a:b], end)
+                    doc_ids += keys[a:b]
+                    counts.append(sizes)
+                    ids.append(made)
+                    held += len(made)
+                    if held >= SEGMENT_IDS:
+                        n_docs, n_ids, held = n_docs + len(doc_ids), n_ids + held, 0
+                        flush()
         if out is not None:
             n_docs, n_ids = n_docs + len(doc_ids), n_ids + held
             if doc_ids:
