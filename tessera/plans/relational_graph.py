@@ -113,7 +113,8 @@ def order_commits(t: Tables) -> DataFrame:
 
 
 def _file(brand: Column) -> Column:
-    return F.concat(F.lit("./"), brand, F.lit(".rs"))
+    """A brand's file; a file id has no ``#``, which begins the place in it."""
+    return F.concat(F.lit("./"), F.replace(brand, F.lit("#"), F.lit("")), F.lit(".rs"))
 
 
 def raw_functions(t: Tables) -> DataFrame:
@@ -144,9 +145,9 @@ def _raw_sql(qualified: bool) -> str:
     target = "file || '::' || name"
     if qualified:
         target = f"CASE l_linenumber WHEN 3 THEN file || '::m::' || name WHEN 4 THEN name ELSE {target} END"
-    return f"""fns AS (SELECT './' || p_brand || '.rs' AS file, './' || p_brand || '.rs#' || p_partkey || ':1' AS id, p_name AS name,
+    return f"""fns AS (SELECT './' || replace(p_brand, '#', '') || '.rs' AS file, './' || replace(p_brand, '#', '') || '.rs#' || p_partkey || ':1' AS id, p_name AS name,
   CASE p_size % 4 WHEN 0 THEN 'pub::' WHEN 1 THEN 'pub::test::' ELSE '' END || p_name AS payload FROM part),
-pairs AS NOT MATERIALIZED (SELECT './' || a.p_brand || '.rs' AS file, a.p_brand AS from_brand, './' || b.p_brand || '.rs' AS to_file, l_partkey, l_linenumber, b.p_partkey AS callee, b.p_name AS name,
+pairs AS NOT MATERIALIZED (SELECT './' || replace(a.p_brand, '#', '') || '.rs' AS file, a.p_brand AS from_brand, './' || replace(b.p_brand, '#', '') || '.rs' AS to_file, l_partkey, l_linenumber, b.p_partkey AS callee, b.p_name AS name,
   (l_partkey * 31 + l_suppkey) % 997 AS draw
   FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_orderkey % (SELECT count(*) FROM part)),
 raw AS (SELECT DISTINCT file, file || '#' || l_partkey || ':1' AS from_id, {target} AS to_id FROM pairs),
