@@ -23,6 +23,8 @@ WIDTH, STRIDE, DIMS, FILTERS = 12, 4, 8, 24
 #: At most so many labelled rows are used for training: those with the smallest hash of their id.
 TRAIN_ROWS = 3000
 EPOCHS, BATCH_CHUNKS, RATE = 8, 160, 0.01
+#: A small sample is gone over more often, until so many steps are made.
+LEAST_STEPS = 400
 #: Chunks scored at a time, for bounded memory.
 SCORE_CHUNKS = 256
 _PLACES = (CHUNK - WIDTH) // STRIDE + 1
@@ -114,7 +116,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net:
     weight = [p for p in net.parameters()]
     first, second, step = [np.zeros_like(p) for p in weight], [np.zeros_like(p) for p in weight], 0
     batches_per_epoch = max(1, sum(len(c) for c, _ in cuts) // BATCH_CHUNKS)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches_per_epoch))
+    for _ in range(epochs):
         batch: list[int] = []
         size = 0
         order = rng.permutation(len(texts))
@@ -126,7 +129,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net:
             starts = np.r_[0, np.cumsum([len(cuts[k][0]) for k in batch])[:-1]].astype(np.int64)
             grads = _gradients(net, np.concatenate([cuts[k][0] for k in batch]), np.concatenate([cuts[k][1] for k in batch]), starts, y[batch])
             step += 1
-            rate = RATE * max(0.05, 1 - step / (EPOCHS * batches_per_epoch + 1))
+            rate = RATE * max(0.05, 1 - step / (epochs * batches_per_epoch + 1))
             for p, g, a, b in zip(weight, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
