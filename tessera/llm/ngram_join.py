@@ -6,9 +6,11 @@ Signature: one-permutation MinHash of the shingles, empty bins filled by densifi
 Forest: each tree labels a class with DEPTH of its bins, so a tree's sorted labels are a
 prefix trie. Matched prefixes are shortened from the full depth until the expected recall
 of a pair at the threshold reaches the target; pairs that share a prefix of that length
-in some tree are candidates. To keep a crowded prefix linear, its members are linked to
-its smallest one only, links whose one-bit sketches differ too much are dropped (far below
-the threshold, so no pair that matters loses its link), and components collect candidates.
+in some tree are candidates unless their one-bit sketches differ too much. A prefix's
+members are linked to its smallest one; that stands for all pairs as long as every sketch
+agrees with the smallest one's. Where one doesn't, the others' sketches are compared pair
+by pair, in blocks, and each block gives one edge per member. So two classes that share a
+prefix and look alike always meet in a component of candidates, whoever else has the prefix.
 
 Verification: a component is dealt to blocks by hash and each pair of blocks to a task,
 which computes the exact Jaccard similarity of all its pairs as a matrix product. Pairs
@@ -38,13 +40,17 @@ N_WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 32, 8
 RECALL = 0.9994
 BINS = TREES * DEPTH
-#: Candidates must look at least this similar by their sketches; the standard error is 0.04 at the threshold.
-SKETCH_LEAST = 0.5
+#: Candidates must look at least this similar by their sketches, and less if it is within so many standard errors of the threshold.
+SKETCH_LEAST, SKETCH_ERRORS = 0.5, 6
 #: Classes in a block of a component.
 BLOCK = 384
+#: Classes in a block of a prefix whose sketches are compared pair by pair.
+PREFIX_BLOCK = 2048
 #: Entries of a dense block of the verification's matrices.
 DENSE = 8_000_000
 _FILL_TRIES = 48
+_WORDS = [f"sketch{k}" for k in range(BINS // 64)]
+_SKETCH = [*_WORDS, "allowed"]
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -123,8 +129,21 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return sig
 
 
-def forest_rows(texts: list[str | None], n: int, depth: int) -> pa.RecordBatch:
-    """Per text: the digest of its shingle set, its prefix in each tree and its sketch."""
+def allowed_bits(filled: np.ndarray, threshold: float) -> np.ndarray:
+    """How many bits the sketch of a document with so many filled bins may differ in from one at the threshold.
+
+    The standard error is 0.04 at a threshold of 0.8 with all bins filled; bins that are
+    copies add nothing, so the fewer shingles a document has, the more may differ.
+    """
+    filled = np.maximum(filled, 1)
+    copies = BINS / filled
+    independent = filled * copies**2 / (copies**2 + copies - 1)
+    error = np.sqrt((1 - threshold**2) / independent)
+    return np.floor((1 - np.minimum(SKETCH_LEAST, threshold - SKETCH_ERRORS * error)) * BINS / 2).astype(np.int64)
+
+
+def forest_rows(texts: list[str | None], n: int, depth: int, threshold: float = THRESHOLD) -> pa.RecordBatch:
+    """Per text: the digest of its shingle set, its prefix in each tree, its sketch and how many bits may differ from it."""
     lists = [split_words(t) for t in texts]
     doc, h = _shingles(lists, n)
     sig = signatures(doc, h, len(texts))
@@ -137,16 +156,16 @@ def forest_rows(texts: list[str | None], n: int, depth: int) -> pa.RecordBatch:
             prefix = _mix(prefix * np.uint64(0x9E3779B97F4A7C15) + label[:, :, k])
         bits = (_mix(sig) & np.uint64(1)).astype(np.uint8)
     sketch = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-    names = ["digest", "prefixes", *(f"sketch{k}" for k in range(BINS // 64))]
-    columns = [pa.array(digest, pa.binary()), pa.array(list(prefix.view(np.int64)), pa.list_(pa.int64())), *(pa.array(sketch[:, k]) for k in range(BINS // 64))]
+    filled = np.zeros(len(texts) * BINS, bool)
+    filled[doc * BINS + (h >> np.uint64(56)).astype(np.int64) % BINS] = True
+    allowed = allowed_bits(filled.reshape(-1, BINS).sum(1), threshold)
+    names = ["digest", "prefixes", *_SKETCH]
+    columns = [pa.array(digest, pa.binary()), pa.array(list(prefix.view(np.int64)), pa.list_(pa.int64())), *(pa.array(sketch[:, k]) for k in range(BINS // 64)), pa.array(allowed)]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-_SKETCH = [f"sketch{k}" for k in range(BINS // 64)]
-
-
-def sign(docs: DataFrame, n: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, digest, prefixes, sketch0..`` of every document."""
+def sign(docs: DataFrame, n: int, depth: int, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, digest, prefixes, sketch0.., allowed`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_counts import blocks
@@ -156,23 +175,82 @@ def sign(docs: DataFrame, n: int, depth: int, id_col: str, text_col: str) -> Dat
             for a, b in blocks([t or "" for t in texts], 1_500_000):
                 for c in range(a, b, 2000):
                     end = min(b, c + 2000)
-                    made = forest_rows(texts[c:end], n, depth)
+                    made = forest_rows(texts[c:end], n, depth, threshold)
                     yield pa.RecordBatch.from_arrays([batch.column(0)[c:end], *made.columns], names=["id", *made.schema.names])
 
     fields = ", ".join(["id bigint", "digest binary", "prefixes array<bigint>", *(f"{s} bigint" for s in _SKETCH)])
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, fields)
 
 
+def _lowest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest of ``ids`` that each one's links lead to; ``linked`` is symmetric."""
+    lowest, most = ids.copy(), ids.max()
+    while True:
+        before = lowest.copy()
+        lowest = np.minimum(lowest, np.where(linked, lowest[None, :], most).min(1))
+        if (lowest == before).all():
+            return lowest
+
+
+def _alike(ids: np.ndarray, block: np.ndarray, sketches: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Per member of a cell, the smallest that agreeing sketches lead to; a cell is one block, or the pairs between two."""
+    signs = np.unpackbits(sketches.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    linked = BINS - signs @ signs.T <= 2 * np.maximum(allowed[:, None], allowed[None, :])
+    if block.min() != block.max():
+        linked &= block[:, None] != block[None, :]
+    return _lowest(linked, ids)
+
+
+def _crowd_edges(members: DataFrame) -> DataFrame:
+    """``a, b`` from ``prefix, blocks, id, sketch0.., allowed``: edges that join all members of a prefix whose sketches agree."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *_SKETCH)
+    key = ["prefix", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells(rows: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
+            edges = []
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(rows)], strict=True):
+                if b - a > 1:
+                    ids = rows[a:b, 4]
+                    lowest = _alike(ids, rows[a:b, 3], np.ascontiguousarray(rows[a:b, 5:-1]), rows[a:b, -1])
+                    edges.append(np.stack([lowest, ids])[:, lowest != ids])
+            low, high = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+        held = np.zeros((0, 5 + len(_SKETCH)), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
+                # The last cell may go on in the next batch.
+                last = len(held) - int((held[::-1, :3] == held[-1, :3]).all(1).cumprod().sum())
+                if last:
+                    yield cells(held[:last])
+                    held = held[last:]
+        if len(held):
+            yield cells(held)
+
+    return dealt.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "a bigint, b bigint")
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
-    """``a, b``: classes that share a prefix, through its smallest member, and whose sketches agree."""
+    """``a, b``: edges whose components hold every two classes that share a prefix and whose sketches agree."""
     rows = reps.select("id", F.explode("prefixes").alias("prefix"))
-    least = rows.groupBy("prefix").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(least, "prefix").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    least = rows.groupBy("prefix").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = materialise(rows.join(least, "prefix").where("id != a").select("prefix", "n", "a", F.col("id").alias("b")))
     side = lambda k: reps.select(F.col("id").alias(k), *[F.col(s).alias(f"{k}_{s}") for s in _SKETCH])
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH), F.lit(0))
+    both = stars.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
+    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _WORDS), F.lit(0))
     # One bit differs with half the chance that the values do.
-    return both.where(1 - 2 * differ / BINS >= SKETCH_LEAST).select("a", "b")
+    judged = materialise(both.select("a", "b", (differ <= F.greatest("a_allowed", "b_allowed")).alias("agree")))
+    # Where a link to the smallest is cut, the pairs among the others are no longer joined through it.
+    cut = stars.where("n > 2").join(judged.where("not agree"), ["a", "b"], "left_semi")
+    crowds = materialise(cut.groupBy("prefix").agg(F.max("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int")))
+    members = attach(stars.select("prefix", F.col("b").alias("id")), crowds, "prefix", "n", stars.count()).where("blocks is not null")
+    members = members.select("prefix", "blocks", "id").join(reps.select("id", *_SKETCH), "id")
+    return judged.where("agree").select("a", "b").unionByName(_crowd_edges(members))
 
 
 def _sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,11 +310,7 @@ def _verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, texts: list[
     if split is None:
         np.fill_diagonal(linked, False)
         links = linked @ copies
-        while True:
-            before = lowest.copy()
-            lowest = np.minimum(lowest, np.where(linked, lowest[None, :], most).min(1))
-            if (lowest == before).all():
-                break
+        lowest = _lowest(linked, ids)
     else:
         links = np.r_[linked @ copies[split:], linked.T @ copies[:split]]
         while True:
@@ -295,7 +369,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, threshold: float = THR
     count as one document each. Extra columns are ignored.
     """
     rows = docs.where(F.col(id_col).isNotNull())
-    signed = materialise(sign(rows, n, prefix_depth(threshold, recall=recall), id_col, text_col))
+    signed = materialise(sign(rows, n, prefix_depth(threshold, recall=recall), id_col, text_col, threshold))
     classes = materialise(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     kept = signed.dropDuplicates(["digest"]).join(classes, "digest").where(F.size("prefixes") > 0)
     reps = materialise(kept.select(F.col("rep").alias("id"), "copies", "prefixes", *_SKETCH))

@@ -79,6 +79,51 @@ def test_ngram_join_matches_brute_force(spark, block, monkeypatch):
     assert ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_crowded_prefix_keeps_its_pairs(spark, monkeypatch):
+    """The smallest member of a prefix is unlike all others, which are pairs of like sketches."""
+    rng = random.Random(5)
+    word = lambda: rng.getrandbits(64) - 2**63
+    pairs = [[word() for _ in range(4)] for _ in range(40)]
+    rows = [(0, 1, [7], *(word() for _ in range(4)), 64)] + [(1 + k + 40 * half, 1, [7], *pairs[k], 64) for k in range(40) for half in range(2)]
+    reps = spark.createDataFrame(rows, "id long, copies long, prefixes array<long>, sketch0 long, sketch1 long, sketch2 long, sketch3 long, allowed long")
+    for block in (2048, 9):
+        monkeypatch.setattr(ngram_join, "PREFIX_BLOCK", block, raising=False)
+        got = {(r.node, r.component) for r in components(ngram_join._candidates(reps), "a", "b").collect()}
+        assert got == {(1 + k + 40 * half, 1 + k) for k in range(40) for half in range(2)}
+
+
+def test_few_shingles_are_not_cut():
+    """Pairs at 0.8 with few shingles differ in more bits than long ones do."""
+    rng = random.Random(6)
+    cut = 0
+    for _ in range(3000):
+        words = [str(rng.random()) for _ in range(13)]
+        made = ngram_join.forest_rows([" ".join(words), " ".join([*words[:-1], "x"])], 5, 7)
+        a, b = ([made.column(f"sketch{k}").to_pylist()[i] for k in range(4)] for i in range(2))
+        differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+        cut += differ > max(made.column("allowed").to_pylist() if "allowed" in made.schema.names else [64])
+    assert cut == 0
+
+
+def test_ngram_join_under_a_template(spark, monkeypatch):
+    """Thousands of documents share 35 % of their shingles, and pairs of them are at 0.8."""
+    monkeypatch.setattr(ngram_join, "PREFIX_BLOCK", 16, raising=False)
+    rng = random.Random(7)
+    word = lambda: str(rng.getrandbits(40))
+    template = [word() for _ in range(110)]
+    texts, pairs = [template + [word() for _ in range(98)] for _ in range(2500)], {}
+    for k in range(300):
+        own = [word() for _ in range(98)]
+        # 204 shingles each, 182 in common: 182 / 226 is just over 0.8.
+        pairs[len(texts)] = len(texts) + 1
+        texts += [template + own, template + own[:-22] + [word() for _ in range(22)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard_join(docs).collect()}
+    lost = [a for a, b in pairs.items() if got[a] != (a, 1) or got[b] != (a, 1)]
+    assert len(lost) <= 1
+    assert all(got[i] == (i, 0) for i in range(2500))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(9, None), (7, 7)]
