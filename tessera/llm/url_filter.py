@@ -61,16 +61,54 @@ def canonical_form(url: Column) -> Column:
 
 
 def _absolute(link: Column, url: Column) -> Column:
-    root = F.concat(F.regexp_extract(url, r"^([^:]*://)", 1), host_of(url))
-    return F.when(link == "", F.lit(None)).when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link)).when(link.startswith("/"), F.concat(root, link))
+    """``link`` as found in the page ``url``; null if it names no other resource with a host."""
+    scheme, path = F.regexp_extract(url, r"^([^:/?#]+:)//[^/?#]", 1), path_of(url)
+    root = F.concat(scheme, F.lit("//"), host_of(url))
+    folder = F.concat(root, F.regexp_replace(F.regexp_extract(path, r"^(.*/)?", 1), r"^$", "/"))
+    out = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+    out = out.when(link.rlike(r"^(?:$|#|[A-Za-z][A-Za-z0-9+.\-]*:)") | (scheme == ""), F.lit(None))
+    out = out.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(root, link))
+    return out.when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(folder, link))
+
+
+def _without_dots(url: Column) -> Column:
+    """The URL with the path's segments ``.`` and ``..`` carried out."""
+    path = path_of(url)
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    # A path that ends in such a segment names a folder.
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/", -1)
+    plain = F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step), "/")
+    head, tail = F.regexp_extract(url, r"^([^?#]*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(head, F.lit("/"), plain, tail)).otherwise(url)
+
+
+def _edges(rows: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
+    found = rows.select(F.explode(F.array(*[F.struct(a.alias("url"), b.alias("target")) for a, b in pairs])).alias("e")).select("e.url", "e.target")
+    return found.where("url is not null and target is not null and url != target").distinct()
+
+
+def _target_edges(target: Column) -> list[tuple[Column, Column]]:
+    """A target is joined to its canonical form, as page URLs are, with and without dot segments."""
+    plain = _without_dots(target)
+    return [(target, canonical_form(target)), (target, plain), (plain, canonical_form(plain))]
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``url, target``: each page's canonical form, its canonical link and its refresh redirect."""
-    url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    links = [_absolute(F.regexp_extract(html, pattern, 1), url) for pattern in (_CANONICAL, _REFRESH)]
-    found = pages.select(url.alias("url"), F.explode(F.array(canonical_form(url), *links)).alias("target"))
-    return found.where("url is not null and target is not null and url != target").distinct()
+    """``url, target``: each page's canonical form, its canonical links and refresh redirects, and the canonical forms of these."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    links = [F.regexp_extract_all(html, F.lit(pattern), F.lit(1)) for pattern in (_CANONICAL, _REFRESH)]
+    # The null stands for the page itself.
+    found = pages.select(F.col(url_col).alias("url"), F.explode(F.concat(F.array(F.lit(None).cast("string")), *links)).alias("link"))
+    found = found.select("url", F.when(F.col("link").isNotNull(), _absolute(F.col("link"), F.col("url"))).alias("target"))
+    url, target = F.col("url"), F.col("target")
+    return _edges(found, (url, canonical_form(url)), (url, target), *_target_edges(target))
+
+
+def redirect_edges(redirects: DataFrame) -> DataFrame:
+    """``url, target``: the given redirects and the canonical forms of both ends."""
+    url, target, whole = F.col("url"), F.col("target"), F.col("whole")
+    given = redirects.select("url", "target", _absolute(target, url).alias("whole"))
+    return _edges(given, (url, target), (url, whole), *_target_edges(url), *_target_edges(whole))
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -78,14 +116,14 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Seq
 
     A rule that fits the URL decides. Else its aliases do: allow if a rule allows one of
     them, block if a rule blocks one, allow otherwise. ``redirects`` (url, target) adds
-    edges known from a crawl. Null URLs and those without a scheme have an empty host and
+    edges known from a crawl; their targets, like links of pages, may be relative. Null URLs and those without a scheme have an empty host and
     path, no aliases and the verdict allow. Repeated pages each get a row; result columns
     replace input columns of the same name. Without an html column there are no page links.
     """
     pages = pages if html_col in pages.columns else pages.withColumn(html_col, F.lit(None).cast("string"))
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("url", "target"))
+        edges = edges.unionByName(redirect_edges(redirects))
     edges = materialise(edges.select("url", "target", F.xxhash64("url").alias("u"), F.xxhash64("target").alias("v")))
     fit = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
     # Ids of URLs are 64-bit hashes: components then moves fixed-width rows only.

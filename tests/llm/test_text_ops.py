@@ -9,7 +9,7 @@ from tessera.llm.pretokens import ChunkTokenizer, Memo, chunk_block, chunks
 from tessera.llm.queries import tokenizer
 from tessera.llm.sentencepiece_codec import PieceModel, decode_pieces, encode_pieces, piece_digests, words
 from tessera.llm.token_counts import count_tokens
-from tessera.llm.url_filter import canonical_form, filter_urls
+from tessera.llm.url_filter import _absolute, _without_dots, canonical_form, filter_urls
 
 ODD = ["one.\nTwo,\nthree \nfour\n five\n\nsix.\n", "a\nb c\nd", "", " ", "  ", "a  b", " lead", "trail ", "\n\n x", "tab\t\tx \n y", "don't 've 12,5", "<|endoftext|> a<|endoftext|>b <s> </s> <0x0A>", "é中文\U0001f600▁x▁▁", "a" * 300, "aa" * 50 + " " * 40, "\x00\x01\x1c \x1d a  b　 c", "!!! ??? ---- ====", "İstanbul ß"]
 
@@ -156,6 +156,62 @@ def test_filter_urls(spark):
     assert {r.verdict for r in filter_urls(pages, redirects).where("page_id = 12").collect()} == {"block"}
 
 
+def _verdicts(spark, pages, redirects=None):
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    given = spark.createDataFrame(redirects, "url string, target string") if redirects else None
+    return [r.verdict for r in filter_urls(frame, given, rules=[("block", "bad.net", "/"), ("allow", "good.org", "/")]).orderBy("page_id").collect()]
+
+
+def test_targets_in_variant_spellings(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = [
+        ("https://a.com/1", link.format("http://www.b.org/y?utm_source=1")),
+        ("https://b.org/y", link.format("https://bad.net/")),
+        ("https://a.com/2", link.format("https://b.org/x/../y/")),
+        ("https://a.com/3", ""),
+        ("https://a.com/4", link.format("http://m.b.org/y.html") + link.format("https://good.org/")),
+    ]
+    assert _verdicts(spark, pages[:3]) == ["block"] * 3
+    assert _verdicts(spark, pages) == ["allow"] * 5
+    assert _verdicts(spark, [*pages[:2], pages[3]], [("http://www.a.com/3/", "http://b.org/y#t")]) == ["block"] * 3
+    assert _verdicts(spark, [*pages[:2], pages[3]], [("https://a.com/3", "/1")]) == ["block"] * 3
+
+
+def test_relative_links(spark):
+    page = "https://h.com/a/b/c?q=1"
+    cases = {
+        "page.html": "https://h.com/a/b/page.html",
+        "../x": "https://h.com/a/x",
+        "../../../x": "https://h.com/x",
+        "..": "https://h.com/a/",
+        "./": "https://h.com/a/b/",
+        "?id=1": "https://h.com/a/b/c?id=1",
+        "p?next=http://z.com/": "https://h.com/a/b/p?next=http://z.com/",
+        "/r/./s": "https://h.com/r/s",
+        "//o.com/t": "https://o.com/t",
+        "http://o.com/u/../v?w=/../#f": "http://o.com/v?w=/../#f",
+        "mailto:me": None,
+        "#top": None,
+    }
+    frame = spark.createDataFrame([(page, k) for k in cases], "url string, link string")
+    got = {r[0]: r[1] for r in frame.select("link", _without_dots(_absolute(frame.link, frame.url))).collect()}
+    assert got == cases
+    for base, want in [("https://h.com", "https://h.com/x"), ("h.com/a", None)]:
+        frame = spark.createDataFrame([(base, "x")], "url string, link string")
+        assert frame.select(_without_dots(_absolute(frame.link, frame.url))).first()[0] == want
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    for link, target in [("page.html", "https://h.com/a/b/page.html"), ("../x", "https://h.com/a/x"), ("?id=1", "https://h.com/a/b/c?id=1")]:
+        pages = [(page, refresh.format(link)), (target, refresh.format("https://bad.net/"))]
+        assert _verdicts(spark, pages) == ["block", "block"]
+
+
+def test_all_links_of_a_page(spark):
+    html = '<link rel="canonical" href="https://o.com/1"><link rel=canonical href=https://bad.net/2>'
+    assert _verdicts(spark, [("https://a.com/", html)]) == ["block"]
+    html = html.replace("<link rel", '<meta http-equiv="refresh" content="0; url=https://o.com/3"><link rel', 1) + "<meta http-equiv=refresh content='1; url=https://good.org/4'>"
+    assert _verdicts(spark, [("https://a.com/", html)]) == ["allow"]
+
+
 def test_canonical_form(spark):
     urls = ["http://www.a.com/x.html?utm_source=f&b=2#t", "https://m.a.com/x/?ref=1", "https://a.com/x?b=2", "none"]
     df = spark.createDataFrame(list(enumerate(urls)), "i int, url string")
