@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH with prefixes of one depth, then exact verification.
 
 Documents with the same set of word shingles are one class; a class takes part once.
 
 Signature: one-permutation MinHash of the shingles, empty bins filled by densification.
-Forest: each tree labels a class with DEPTH of its bins, so a tree's sorted labels are a
-prefix trie. Matched prefixes are shortened from the full depth until the expected recall
-of a pair at the threshold reaches the target; pairs that share a prefix of that length
+Bands: each tree has DEPTH bins. The prefix matched is the longest for which the expected
+recall of a pair at the threshold reaches the target; it is fixed by the parameters and the
+same for every class and tree, so this is banding, not a forest of tries. Pairs that share a prefix of that length
 in some tree are candidates unless their one-bit sketches differ too much. A prefix's
 members are linked to its smallest one; that stands for all pairs as long as every sketch
 agrees with the smallest one's. Where one doesn't, the others' sketches are compared pair
