@@ -3,7 +3,7 @@
 The reader inflates incrementally, so it holds one record's bytes at most; a record is
 framed by its Content-Length, a member must end where its record does, and block and
 payload digests are verified. Records whose payload another response holds are revisits
-with headers only. A manifest lists the archives of tasks that ended; files of lost or
+with headers only; what they say of the payload is held against that response. A manifest lists the archives of tasks that ended; files of lost or
 repeated tasks aren't in it and are never read.
 """
 
@@ -102,7 +102,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("Content-Length doesn't frame the record")
     block = rest[:size]
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != _label(hashlib.sha1(block).digest()):
+    if headers.get("warc-block-digest") != _label(hashlib.sha1(block).digest()):
         raise ValueError("block digest mismatch")
     return headers, block
 
@@ -159,7 +159,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     path, records, size = f"{base}/warc/part-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     store.create_dir(f"{base}/warc", recursive=True)
                     out = store.open_output_stream(path)
-                    info = member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+                    fields = b"format: WARC File Format 1.1\r\n"
+                    info = member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", _label(hashlib.sha1(fields).digest()))], fields)
                     out.write(info)
                 record = page_record(page_id, url, payload, refers_to)
                 out.write(record)
@@ -173,8 +174,19 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(with_revisits(pages).mapInArrow(write, MANIFEST), f"{folder}/manifest")
 
 
+def check_revisits(rows: DataFrame) -> None:
+    """Fail unless each revisit names a response with its payload's digest and size."""
+    told = [F.col(c) for c in ("payload_digest", "payload_bytes")]
+    # One row per claim, so no payload's revisits meet in one task.
+    claims = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("holder"), *told).distinct()
+    held = rows.where("record_type = 'response'").select(F.col("page_id").alias("holder"), *told)
+    wrong = claims.join(held, ["holder", "payload_digest", "payload_bytes"], "left_anti").first()
+    if wrong is not None:
+        raise ValueError(f"no response of page {wrong.holder} has the payload that a revisit names: {wrong.payload_digest}, {wrong.payload_bytes} bytes")
+
+
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """The RECORD rows of all pages in the archives; a task reads one archive at a time."""
+    """The RECORD rows of all pages in the archives, revisits checked; a task reads one archive at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -199,7 +211,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    return manifest.select("path").repartition(max(manifest.count(), 1)).mapInArrow(read, RECORD)
+    found = materialise(manifest.select("path").repartition(max(manifest.count(), 1)).mapInArrow(read, RECORD))
+    check_revisits(found)
+    return found
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

@@ -106,6 +106,26 @@ def test_warc_detects_damage():
         list(warc.members(io.BytesIO(good[:-4])))
 
 
+@pytest.mark.parametrize("revisit", [(b"payload", 1), (b"Payload", 1), (b"payloads", 1), (b"payload", 3), (b"payload", 2)])
+def test_warc_checks_revisits(spark, tmp_path, revisit):
+    """Only a revisit of the payload that the named response has is read."""
+    path = tmp_path / "a.warc"
+    path.write_bytes(warc.page_record(1, "u", b"payload", None) + warc.page_record(2, "u", *revisit))
+    manifest = spark.createDataFrame([(0, str(path), 2, path.stat().st_size)], warc.MANIFEST)
+    if revisit == (b"payload", 1):
+        assert {r.page_id: r.refers_to for r in warc.read_archives(spark, manifest, tmp_path.as_uri()).collect()} == {1: None, 2: 1}
+    else:
+        with pytest.raises(ValueError):
+            warc.read_archives(spark, manifest, tmp_path.as_uri()).collect()
+
+
+def test_warc_needs_block_digests():
+    record = b"".join(warc.members(io.BytesIO(warc.page_record(1, "u", b"payload", None))))
+    line = next(x for x in record.split(b"\r\n") if x.startswith(b"WARC-Block-Digest"))
+    with pytest.raises(ValueError):
+        warc.parse(record.replace(line + b"\r\n", b""))
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 1023, 1024, 1025, 1920, 5000):
         rng = random.Random(n)
