@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import Memo
+from .pretokens import Chunked, ValueTable, cut_block, gather, strings, sums, text_blocks
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Texts with a space that isn't between two other characters, or with the sign for spaces.
+_ODD = f"^ | $|  |{SPACE}"
 _NONE = np.int64(1 << 40)
 
 
@@ -32,6 +35,13 @@ def words(text: str) -> list[str]:
     return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def word_block(texts: list[str] | pa.Array) -> Chunked:
+    """Distinct words of a block, with the sign that each begins with, and each text's words."""
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    units, *rest = cut_block(texts, _ODD, lambda t: [w[1:] for w in words(t)], SPACE)
+    return Chunked(strings(units), *rest)
+
+
 class PieceModel:
     """Pieces and merge ranks of a sentencepiece BPE file with byte fallback."""
 
@@ -57,6 +67,8 @@ class PieceModel:
         # What each id adds to a decoded text. Byte pieces add their byte.
         self.surface = [bytes([int(p[3:5], 16)]) if byte[i] else b"" if self.control[i] else " ⁇ ".encode() if self.unknown[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.leading = [normal.get(p) == i and p.startswith(SPACE) for i, p in enumerate(pieces)]
+        self.surfaces, self.lead, self.special = pa.array(self.surface, pa.large_binary()), np.array(self.leading), np.array(byte) | np.array(self.control) | np.array(self.unknown)
+        self.decimals = pa.array([str(i).encode() for i in range(n)], pa.large_binary())
         # Symbols: the pieces, then characters that only occur inside pieces, then any other character.
         symbols = dict(normal)
         for p in normal:
@@ -122,25 +134,32 @@ class PieceModel:
         return self.merged[slot]
 
     def encode_words(self, units: list[str], single: bool = False) -> list[np.ndarray]:
-        """Ids of each word. single: one merge per word and round, exactly as a queue would do it."""
+        """Ids of each word."""
+        flat, counts = self.encode_flat(units, single)
+        return np.split(flat, np.cumsum(counts)[:-1]) if units else []
+
+    def encode_flat(self, units: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has). single: one merge per word and round, exactly as a queue would do it."""
         if not units:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         text = "".join(units)
         symbol = self.symbol_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        word = np.repeat(np.arange(len(units)), sizes)
+        word = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
         done_word, done_symbol, again = [], [], np.zeros(len(units), bool)
-        rank = self._pairs(symbol, word)
+        rank = self._pairs_at(symbol, word, np.arange(len(symbol)))
         while len(symbol):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, starts)
             lengths = np.diff(np.r_[starts, len(word)])
-            over = np.repeat(least == _NONE, lengths)
+            over = least == _NONE
             if over.any():
-                done_word.append(word[over])
-                done_symbol.append(symbol[over])
-                symbol, word, rank = symbol[~over], word[~over], rank[~over]
-                lengths, least = lengths[least != _NONE], least[least != _NONE]
+                out = np.repeat(over, lengths)
+                done_word.append(word[out])
+                done_symbol.append(symbol[out])
+                stay = ~out
+                symbol, word, rank = symbol[stay], word[stay], rank[stay]
+                lengths, least = lengths[~over], least[~over]
                 if not len(symbol):
                     break
             at = np.flatnonzero(rank == np.repeat(least, lengths))
@@ -156,24 +175,38 @@ class PieceModel:
             keep[at + 1] = False
             new = at - np.arange(len(at))
             symbol, word, rank = symbol[keep], word[keep], rank[keep]
-            changed = np.unique(np.r_[new, np.maximum(new - 1, 0)])
+            # Only the pairs on both sides of a merged one changed.
+            left = np.maximum(new - 1, 0)
+            changed = np.zeros(len(symbol), bool)
+            changed[new] = changed[left] = True
+            changed = np.flatnonzero(changed)
             rank[changed] = self._pairs_at(symbol, word, changed)
             if not single:
-                early = np.minimum(rank[new], np.where(new > 0, rank[np.maximum(new - 1, 0)], _NONE)) < was
-                before = np.where(new > 0, word[np.maximum(new - 1, 0)] == word[new], False)
-                early &= (rank[new] < was) | (before & (rank[np.maximum(new - 1, 0)] < was))
-                again[word[new[early]]] = True
+                before = (new > 0) & (word[left] == word[new])
+                again[word[new[(rank[new] < was) | (before & (rank[left] < was))]]] = True
         word = np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         symbol, word = np.concatenate(done_symbol)[order], word[order]
-        out = np.split(symbol, np.cumsum(np.bincount(word, minlength=len(units)))[:-1])
-        for k in np.unique(word[symbol >= self.n]):
-            out[k] = np.concatenate([[s] if s < self.n else self.byte_id[list((self.chars.get(s) or chr(s - self.base)).encode("utf-8", "surrogatepass"))] for s in out[k].tolist()])
+        if (symbol >= self.n).any():
+            symbol, word = self._with_bytes(symbol, word)
+        counts = np.bincount(word, minlength=len(units))
         redo = np.flatnonzero(again)
         if len(redo):
-            for k, ids in zip(redo, self.encode_words([units[k] for k in redo], single=True), strict=True):
-                out[k] = ids
-        return out
+            other, n = self.encode_flat([units[k] for k in redo], single=True)
+            starts = np.cumsum(counts) - counts
+            starts[redo], counts[redo] = len(symbol) + np.cumsum(n) - n, n
+            symbol = gather(np.r_[symbol, other], starts, counts)
+        return symbol, counts
+
+    def _with_bytes(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that are no piece become the pieces of their UTF-8 bytes."""
+        unknown, which = np.unique(symbol[symbol >= self.n], return_inverse=True)
+        raw = [(self.chars.get(s) or chr(s - self.base)).encode("utf-8", "surrogatepass") for s in unknown.tolist()]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        pool = np.r_[symbol, self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]]
+        starts, counts = np.arange(len(symbol)), np.ones(len(symbol), np.int64)
+        starts[symbol >= self.n], counts[symbol >= self.n] = (len(symbol) + np.cumsum(sizes) - sizes)[which], sizes[which]
+        return gather(pool, starts, counts), np.repeat(word, counts)
 
     def _pairs_at(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.full(len(at), _NONE, np.int64)
@@ -182,12 +215,19 @@ class PieceModel:
         out[ok] = self._rank(symbol[at[ok]], symbol[at[ok] + 1])
         return out
 
-    def _pairs(self, symbol: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self._pairs_at(symbol, word, np.arange(len(symbol)))
-
-    def entries(self, units: list[str]) -> list[tuple[str, bytes]]:
-        """For a memo: a word's ids as decimals joined by commas and as 32-bit integers."""
-        return [(",".join(map(str, x.tolist())), x.astype("<i4").tobytes()) for x in self.encode_words(units)]
+    def decode_flat(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The text, in UTF-8, of each ``ids[starts[k]:starts[k + 1]]``, as the library decodes a list of them."""
+        lists = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), self.surfaces.take(pa.array(ids, pa.int32())))
+        out = strings(pc.binary_join(lists, pa.scalar(b"", pa.large_binary())))
+        sizes = np.diff(starts)
+        some = np.flatnonzero(sizes > 0)
+        for k in some[self.lead[ids[starts[some]]]].tolist():
+            out[k] = out[k][1:]
+        # Byte pieces may not be UTF-8, and what isn't text doesn't end the beginning.
+        special = self.special[ids]
+        for k in np.flatnonzero(sums(special, starts)).tolist():
+            out[k] = self.decode(ids[starts[k] : starts[k + 1]].tolist()).encode("utf-8", "surrogatepass")
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, as the library decodes a list of them."""
@@ -233,22 +273,18 @@ class PieceModel:
 
 
 class Codec:
-    """Encodes whole texts through a memo of words."""
+    """Encodes whole texts through a table of words."""
 
     def __init__(self, path: str) -> None:
         self.model = model_of(path)
-        self.memo = Memo(self.model.entries, 120_000)
-
-    def encode(self, texts: list[str]) -> list[tuple[str, list[int]]]:
-        """Each text's ids as decimals joined by commas, and as a list."""
-        parts = [words(t) for t in texts]
-        wanted = list({w for p in parts for w in p})
-        made = dict(zip(wanted, self.memo.values(wanted), strict=True))
-        out = []
-        for p in parts:
-            both = [made[w] for w in p]
-            out.append((",".join([x for x, _ in both]), np.frombuffer(b"".join([x for _, x in both]), "<i4").tolist()))
-        return out
+        self.table = ValueTable(self.model.encode_flat)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end)."""
+        block = word_block(texts).in_order()
+        first, sizes = self.table.find(block.distinct)
+        starts = np.r_[0, np.cumsum(sums(sizes[block.at], block.starts))]
+        return gather(self.table.pool, first[block.at], sizes[block.at]), starts
 
 
 @functools.lru_cache(maxsize=1)
@@ -262,74 +298,85 @@ def codec_of(path: str) -> Codec:
     return Codec(path)
 
 
-def _texts(docs: DataFrame, names: list[str], fields: str, run, carry: list[str] | None, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, names: list[str], fields: str, run, carry: list[str] | None, text_col: str) -> DataFrame:
+    """The columns ``carry`` of ``docs`` and what ``run()`` makes of each block of texts."""
     keep = [c for c in (docs.columns if carry is None else carry) if c not in names]
     schema = T.StructType([*docs.select(*keep).schema.fields, *T._parse_datatype_string(fields).fields])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = run()
-        for batch in (whole.slice(at, 1024) for whole in source for at in range(0, whole.num_rows, 1024)):
-            columns = step(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, t) for x, t in columns)], names=[*keep, *names])
+        for batch in source:
+            at = 0
+            for texts in text_blocks(batch.column(text_col), BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), *step(texts)], names=[*keep, *names])
+                at += len(texts)
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(batches, schema)
 
 
-#: Characters of text encoded at a time.
-BLOCK_CHARS = 2_000_000
+#: Bytes of text encoded at a time, and rows of ids decoded at a time.
+BLOCK_BYTES, DECODE_ROWS = 2_000_000, 256
 
 
 def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (default: all) plus ``ids`` (array of int), without begin or end ids.
 
-    Null and empty texts have an empty array. Repeated rows each get a row; an input
-    column ``ids`` is replaced.
+    Null and empty texts have an empty array; a text of any length is encoded whole, so a
+    worker holds the longest one. Repeated rows each get a row, an empty table gives none;
+    an input column ``ids`` is replaced.
     """
-    from .token_counts import blocks
 
     def run():
         codec = codec_of(path)
 
-        def step(texts: list) -> list:
-            texts = [t or "" for t in texts]
-            return [([ids for a, b in blocks(texts, BLOCK_CHARS) for _, ids in codec.encode(texts[a:b])], pa.list_(pa.int32()))]
+        def step(texts: pa.Array) -> list[pa.Array]:
+            ids, starts = codec.encode(texts)
+            return [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
 
         return step
 
-    return _texts(docs, ["ids"], "ids array<int>", run, carry, text_col)
+    return _blocks(docs, ["ids"], "ids array<int>", run, carry, text_col)
 
 
 def decode_pieces(docs: DataFrame, path: str, ids_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` plus ``decoded``: the text of the ids; null ids give an empty text."""
+    """The columns ``carry`` plus ``decoded``: the text of the ids.
 
-    def run():
+    Null or empty ids give an empty text. Repeated rows each get a row, an empty table
+    gives none; an input column ``decoded`` is replaced.
+    """
+    keep = [c for c in (docs.columns if carry is None else carry) if c != "decoded"]
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("decoded", T.StringType())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        return lambda lists: [([model.decode(x or []) for x in lists], pa.string())]
+        for batch in (whole.slice(at, DECODE_ROWS) for whole in source for at in range(0, whole.num_rows, DECODE_ROWS)):
+            lists = batch.column(ids_col)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            made = model.decode_flat(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x.decode() for x in made], pa.string())], names=[*keep, "decoded"])
 
-    return _texts(docs, ["decoded"], "decoded string", run, carry, ids_col)
+    return docs.select(*dict.fromkeys([*keep, ids_col])).mapInArrow(run, schema)
 
 
 def piece_digests(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` plus ``n_tokens, ids_sha256, decoded_sha256`` of a round trip.
 
     ``ids_sha256`` is over the decimal ids joined by commas, ``decoded_sha256`` over the
-    UTF-8 of what the ids decode to. Ids and texts stay in the Python worker.
+    UTF-8 of what the ids decode to. Ids and texts stay in the Python worker. Null counts
+    as empty; whole texts, repeated rows, empty tables and clashing columns are handled as
+    by :func:`encode_pieces`.
     """
-    from .token_counts import blocks
 
     def run():
         codec = codec_of(path)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
 
-        def step(texts: list) -> list:
-            texts = [t or "" for t in texts]
-            n, ids_sha, text_sha = [], [], []
-            for a, b in blocks(texts, BLOCK_CHARS):
-                for decimals, ids in codec.encode(texts[a:b]):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(decimals.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(codec.model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            return [(n, pa.int64()), (ids_sha, pa.string()), (text_sha, pa.string())]
+        def step(texts: pa.Array) -> list[pa.Array]:
+            ids, starts = codec.encode(texts)
+            decimals = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), codec.model.decimals.take(pa.array(ids)))
+            joined = pc.binary_join(decimals, pa.scalar(b",", pa.large_binary()))
+            return [pa.array(np.diff(starts)), pa.array(map(sha, strings(joined)), pa.string()), pa.array(map(sha, codec.model.decode_flat(ids, starts)), pa.string())]
 
         return step
 
-    return _texts(docs, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", run, carry, text_col).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    return _blocks(docs, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", run, carry, text_col)

@@ -1,8 +1,8 @@
 """Token counts: pieces once per distinct pre-token, joined to per-document frequencies.
 
 Nothing is shuffled. Each block of documents is reduced to (document, pre-token,
-frequency); the pieces of the block's distinct pre-tokens come from a memo, so one that
-recurs is counted once per Python worker; the two are joined on the pre-token's position
+frequency); the pieces of the block's distinct pre-tokens come from a bounded table that a
+Python worker keeps, so one that recurs is counted once; the two are joined on the pre-token's position
 and summed by document. Ids of a document never exist.
 """
 
@@ -13,28 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Chunked, ChunkTokenizer, Memo, chunk_block
-from .sentencepiece_codec import PieceModel, words
+from .pretokens import Chunked, ChunkTokenizer, ValueTable, chunk_block, text_blocks
+from .sentencepiece_codec import PieceModel, word_block
 
-#: Characters of text handled at a time: bounds a worker's memory whatever the batch.
-BLOCK_CHARS = 5_000_000
-#: Rows taken from a batch at a time.
-SLICE_ROWS = 2048
-
-
-def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``size`` characters; a longer text has one of its own."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > size:
-            yield at, i
-            at, total = i, 0
-        total += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+#: Bytes of text handled at a time: bounds a worker's memory whatever the batch.
+BLOCK_BYTES = 4_000_000
 
 
 class JsonCounter:
@@ -45,37 +32,38 @@ class JsonCounter:
     def __init__(self, path: str) -> None:
         self.source = ChunkTokenizer(path)
 
-    def pieces(self, keys: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.source.raw_ids(keys)]
+    def pieces(self, keys: list[str]) -> np.ndarray:
+        return self.source.ids(keys)[1]
 
 
 class PieceCounter:
     """Words and their pieces for a sentencepiece file."""
 
+    cut = staticmethod(word_block)
+
     def __init__(self, path: str) -> None:
         self.model = PieceModel(path)
 
-    def cut(self, texts: list[str]) -> Chunked:
-        parts = [words(t) for t in texts]
-        coded = pa.array([w for p in parts for w in p], pa.large_string()).dictionary_encode()
-        starts = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
-        return Chunked(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), starts, np.arange(len(texts)))
-
-    def pieces(self, keys: list[str]) -> list[int]:
-        return [len(x) for x in self.model.encode_words(keys)]
+    def pieces(self, keys: list[str]) -> np.ndarray:
+        return self.model.encode_flat(keys)[1]
 
 
 @functools.lru_cache(maxsize=1)
-def counter(path: str) -> tuple[JsonCounter | PieceCounter, Memo]:
-    """A file's counter and its memo; a worker keeps them from task to task."""
+def counter(path: str) -> tuple[JsonCounter | PieceCounter, ValueTable]:
+    """A file's counter and its table of counts; a worker keeps them from task to task."""
     source = PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
-    return source, Memo(source.pieces, 200_000)
+
+    def make(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return source.pieces(keys), np.ones(len(keys), np.int64)
+
+    return source, ValueTable(make)
 
 
-def count_block(texts: list[str], source: JsonCounter | PieceCounter, memo: Memo) -> np.ndarray:
+def count_block(texts: pa.Array, source: JsonCounter | PieceCounter, table: ValueTable) -> np.ndarray:
     """Tokens of each text."""
-    block = source.cut(texts)
-    pieces = np.array(memo.values(block.distinct), np.int64)
+    block: Chunked = source.cut(texts)
+    at, _ = table.find(block.distinct)
+    pieces = table.pool[at].astype(np.int64)
     # (document, pre-token) frequencies, then the join with the pieces and the sum.
     doc = np.repeat(block.order, np.diff(block.starts))
     pair, frequency = np.unique(doc * max(len(pieces), 1) + block.at, return_counts=True)
@@ -97,14 +85,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     schema = docs.select(*keep).withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, memo = counter(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                n_tokens = np.concatenate([count_block(texts[a:b], source, memo) for a, b in blocks(texts)])
-                n_bytes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_bytes), pa.array(n_tokens)], names=[*keep, "n_bytes", "n_tokens"])
+        source, table = counter(path)
+        for batch in batches:
+            at = 0
+            for texts in text_blocks(batch.column(text_col), BLOCK_BYTES):
+                n_tokens, n_bytes = count_block(texts, source, table), pc.binary_length(texts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), n_bytes, pa.array(n_tokens)], names=[*keep, "n_bytes", "n_tokens"])
+                at += len(texts)
 
     out = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

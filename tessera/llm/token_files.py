@@ -26,15 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import ChunkTokenizer, Memo, chunk_block
+from .pretokens import ChunkTokenizer, ValueTable, chunk_block, gather, sums, text_blocks
 from .shared import materialise, shared_dir
 from .simple8b import Coded, decode, encode
-from .token_counts import SLICE_ROWS, blocks
 
 MAGIC = b"TSR8B001"
 SEGMENT_IDS = 400_000
-#: Characters of text encoded at a time.
-BLOCK_CHARS = 5_000_000
+#: Bytes of text encoded at a time.
+BLOCK_BYTES = 4_000_000
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint"
 
 
@@ -79,34 +78,26 @@ def read_segments(stream) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 
 
 class IdEncoder:
-    """Ids of whole texts by the tokenizers library, through a memo of chunks."""
+    """Ids of whole texts by the tokenizers library, through a table of chunks."""
 
     def __init__(self, path: str) -> None:
-        self.memo = Memo(ChunkTokenizer(path).raw_ids, 200_000)
+        self.table = ValueTable(ChunkTokenizer(path).ids)
 
-    def encode(self, texts: list[str], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text): each text's ids and then ``end``."""
-        block = chunk_block(texts)
-        values = self.memo.values(block.distinct)
+        block = chunk_block(texts).in_order()
+        first, sizes = self.table.find(block.distinct)
         # One more chunk for the end of a text, then chunks become ids by gathering ranges.
-        sizes = np.r_[np.fromiter(map(len, values), np.int64, len(values)) // 4, len(end)]
-        pool = np.r_[np.frombuffer(b"".join(values), "<u4"), end]
-        at = np.insert(block.at, block.starts[1:], len(values))
-        starts = block.starts + np.arange(len(block.starts))
-        counts = np.add.reduceat(sizes[at], starts[:-1]) if len(texts) else np.zeros(0, np.int64)
-        back = np.empty(len(texts), np.int64)
-        back[block.order] = np.arange(len(texts))
-        if (np.diff(back) != 1).any():  # some texts were cut apart from the others
-            at = np.concatenate([at[starts[k] : starts[k + 1]] for k in back])
-            counts = counts[back]
-        first, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        ends = np.cumsum(n)
-        return pool[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], counts
+        first, sizes = np.r_[first, len(self.table.pool)], np.r_[sizes, len(end)]
+        pool = np.concatenate([self.table.pool, end.astype(np.int32)])
+        at = np.insert(block.at, block.starts[1:], len(block.distinct))
+        counts = sums(sizes[at], block.starts + np.arange(len(block.starts)))
+        return gather(pool, first[at], sizes[at]).astype("<u4"), counts
 
 
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> IdEncoder:
-    """A worker keeps its encoder, with the memo, from task to task."""
+    """A worker keeps its encoder, with its table, from task to task."""
     return IdEncoder(path)
 
 
@@ -141,19 +132,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             if out is None:
                 store.create_dir(f"{base}/ids", recursive=True)
                 out = store.open_output_stream(path)
-            # A few rows at a time, so that long documents never pile up.
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                few = batch.slice(at, SLICE_ROWS)
-                keys, texts = few.column(0).to_pylist(), [t or "" for t in few.column(1).to_pylist()]
-                for a, b in blocks(texts, BLOCK_CHARS):
-                    made, sizes = encoder.encode(texts[a:b], end)
-                    doc_ids += keys[a:b]
-                    counts.append(sizes)
-                    ids.append(made)
-                    held += len(made)
-                    if held >= SEGMENT_IDS:
-                        n_docs, n_ids, held = n_docs + len(doc_ids), n_ids + held, 0
-                        flush()
+            at = 0
+            for texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                made, sizes = encoder.encode(texts, end)
+                doc_ids += batch.column(0)[at : at + len(texts)].to_pylist()
+                at += len(texts)
+                counts.append(sizes)
+                ids.append(made)
+                held += len(made)
+                if held >= SEGMENT_IDS:
+                    n_docs, n_ids, held = n_docs + len(doc_ids), n_ids + held, 0
+                    flush()
         if out is not None:
             n_docs, n_ids = n_docs + len(doc_ids), n_ids + held
             if doc_ids:

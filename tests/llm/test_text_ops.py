@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.pretokens import ChunkTokenizer, Memo, chunk_block, chunks
+from tessera.llm.pretokens import ChunkTokenizer, ValueTable, chunk_block, chunks, text_blocks
 from tessera.llm.queries import tokenizer
 from tessera.llm.sentencepiece_codec import PieceModel, decode_pieces, encode_pieces, piece_digests, words
 from tessera.llm.token_counts import count_tokens
@@ -58,13 +59,39 @@ def test_chunks_keep_ids():
         assert "".join(block.distinct[i] for i in block.at[block.starts[k] : block.starts[k + 1]]) == texts[doc]
 
 
-def test_memo_keeps_values_right():
-    memo = Memo(lambda keys: [k + "!" for k in keys], size=5, longest=3)
-    rng = random.Random(9)
-    for _ in range(200):
-        keys = list({"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 9))})
-        assert memo.values(keys) == [k + "!" for k in keys]
-        assert len(memo.young) + len(memo.old) < 40
+def test_value_table_keeps_values_right():
+    def make(keys):
+        return np.array([ord(c) for k in keys for c in k]), np.array([len(k) for k in keys], np.int64)
+
+    table, rng = ValueTable(make, size=20), random.Random(9)
+    for _ in range(300):
+        keys = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 9))]
+        starts, counts = table.find(keys)
+        assert ["".join(map(chr, table.pool[a : a + n])) for a, n in zip(starts, counts, strict=True)] == keys
+        assert len(table.counts) <= 30
+
+
+def test_text_blocks():
+    texts = ["a" * 5, None, "", "é" * 40, "b", "c", "", "d" * 3]
+    for size in (1, 4, 10, 1000):
+        made = [b.to_pylist() for b in text_blocks(pa.array(texts), size)]
+        assert [t for b in made for t in b] == [t or "" for t in texts]
+        assert all(len(b) == 1 or sum(len(t.encode()) for t in b) <= size for b in made)
+    assert list(text_blocks(pa.array([], pa.string()), 5)) == []
+
+
+PUNCTUATED = ["word$$$ a.%%%\nb,;!( c'd 'll they've 12,5 x-y (z) <|endoftext|> «ß» ¼ª²", "don't.\n'tis it's\n", "\u00adsoft a\u00a0b\u0085c", "[x] `y` {z}~ \\ a\\b ^_^ @home #1", "x\ny z\n"]
+
+
+def test_punctuated_chunks_keep_ids():
+    from tokenizers import Tokenizer
+
+    t, source = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), ChunkTokenizer(tokenizer("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    bits = ["ab", "Éa", "'", "'s", "'re", "$%", ".", "\n", "7", "½", "-", "<|endoftext|>", "ñ", " ", "x", "[", "\\", "`", "~", "中", "\xad", "\xa0", "²"]
+    for text in [*PUNCTUATED, *["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(1500)]]:
+        parts = [" " + c if k else c for k, c in enumerate(chunks(text))]
+        assert source.ids(parts)[0].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def _docs(spark, texts):
