@@ -1,16 +1,24 @@
-"""N-gram Jaccard join: MinHash LSH with prefixes of one depth, then exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest with adaptive prefixes, then exact verification.
 
 Documents with the same set of word shingles are one class; a class takes part once.
 
 Signature: one-permutation MinHash of the shingles, empty bins filled by densification.
-Bands: each tree has DEPTH bins. The prefix matched is the longest for which the expected
-recall of a pair at the threshold reaches the target; it is fixed by the parameters and the
-same for every class and tree, so this is banding, not a forest of tries. Pairs that share a prefix of that length
-in some tree are candidates unless their one-bit sketches differ too much. A prefix's
-members are linked to its smallest one; that stands for all pairs as long as every sketch
-agrees with the smallest one's. Where one doesn't, the others' sketches are compared pair
-by pair, in blocks, and each block gives one edge per member. So two classes that share a
-prefix and look alike always meet in a component of candidates, whoever else has the prefix.
+Forest: each tree labels a class with DEPTH bins; equal prefixes of labels are a node of the
+tree's trie. Matching starts at the nodes of the shortest prefix that is worth it. Nodes of
+at most CROWD classes are matched as they are; in a crowded one a class follows its label to
+longer prefixes, until few share it or the label ends. Then prefixes are shortened again:
+the chance to find a pair at the threshold follows from the depths a class has in all
+trees, and as long as it is under the target recall the class gives up the longest prefix
+in the tree where the shorter one is least crowded. A node that one class gives up to is
+matched for all its classes, so both ends of a pair use the same node and the target holds
+for each class. Tries are never gathered: nodes are known by hashes of prefixes, counted
+with partial sums and looked up without a hot task.
+
+Candidates: classes of a matched node whose one-bit sketches don't differ too much. Members
+are linked to the node's smallest; that stands for all pairs as long as every sketch agrees
+with the smallest one's. Where one doesn't, the others' sketches are compared pair by pair,
+in blocks, and each block gives one edge per member. So two classes that share a
+node and look alike always meet in a component of candidates, whoever else is in the node.
 
 Verification: a component is dealt to blocks by hash and each pair of blocks to a task,
 which computes the exact Jaccard similarity of all its pairs as a matrix product. Pairs
@@ -23,16 +31,19 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
+from .pretokens import strings, text_blocks
 from .shared import materialise
 from .skew import attach
 
@@ -42,19 +53,25 @@ RECALL = 0.9994
 BINS = TREES * DEPTH
 #: Candidates must look at least this similar by their sketches, and less if it is within so many standard errors of the threshold.
 SKETCH_LEAST, SKETCH_ERRORS = 0.5, 6
-#: Classes in a block of a component.
-BLOCK = 384
-#: Classes in a block of a prefix whose sketches are compared pair by pair.
+#: A node of more classes is crowded.
+CROWD = 32
+#: Classes in a block of a component, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 384, 32_000_000
+#: Up to so many shingles, sets are told apart by their words. Among many short texts 64-bit hashes would meet by chance.
+FEW_SHINGLES = 16
+#: Classes in a block of a node whose sketches are compared pair by pair.
 PREFIX_BLOCK = 2048
 #: Entries of a dense block of the verification's matrices.
 DENSE = 8_000_000
+#: Bytes and rows of text signed at a time.
+SIGN_BYTES, SIGN_ROWS = 1_500_000, 2000
 _FILL_TRIES = 48
 _WORDS = [f"sketch{k}" for k in range(BINS // 64)]
 _SKETCH = [*_WORDS, "allowed"]
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten the matched prefix from ``depth`` until a pair at the threshold is found with probability ``recall``."""
+    """The longest prefix, up to ``depth``, that finds a pair at the threshold with probability ``recall`` if all trees use it."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -142,44 +159,63 @@ def allowed_bits(filled: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor((1 - np.minimum(SKETCH_LEAST, threshold - SKETCH_ERRORS * error)) * BINS / 2).astype(np.int64)
 
 
+def _digest(words: list[str], h: np.ndarray, n: int) -> bytes:
+    """Of a shingle set, the same for equal sets only."""
+    if len(h) <= FEW_SHINGLES:
+        shingles = {" ".join(words[k : k + n]) for k in range(max(len(words) - n + 1, 1))}
+        return hashlib.blake2b("\n".join(sorted(shingles)).encode("utf-8", "surrogatepass"), digest_size=16, person=b"words").digest()
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def digests(texts: list[str | None], n: int) -> list[bytes]:
+    lists = [split_words(t) for t in texts]
+    doc, h = _shingles(lists, n)
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [_digest(w, h[a:b], n) for w, a, b in zip(lists, cuts[:-1], cuts[1:], strict=True)]
+
+
 def forest_rows(texts: list[str | None], n: int, depth: int, threshold: float = THRESHOLD) -> pa.RecordBatch:
-    """Per text: the digest of its shingle set, its prefix in each tree, its sketch and how many bits may differ from it."""
+    """Per text: the digest of its shingle set, its prefix of ``depth`` bins in each tree and the two bins behind, its sketch and how many bits may differ from it."""
     lists = [split_words(t) for t in texts]
     doc, h = _shingles(lists, n)
     sig = signatures(doc, h, len(texts))
     cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-    digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    digest = [_digest(w, h[a:b], n) for w, a, b in zip(lists, cuts[:-1], cuts[1:], strict=True)]
     with np.errstate(over="ignore"):
-        label = sig.reshape(len(texts), TREES, DEPTH)[:, :, :depth]
+        label = sig.reshape(len(texts), TREES, DEPTH)
         prefix = np.zeros(label.shape[:2], np.uint64) + np.arange(TREES, dtype=np.uint64)
         for k in range(depth):
             prefix = _mix(prefix * np.uint64(0x9E3779B97F4A7C15) + label[:, :, k])
+        # Half a word for each of the next two bins; a label that has ended goes on with zeros.
+        behind = [_mix(label[:, :, k]) >> np.uint64(32) if k < DEPTH else np.zeros_like(prefix) for k in (depth, depth + 1)]
+        tail = behind[0] << np.uint64(32) | behind[1]
         bits = (_mix(sig) & np.uint64(1)).astype(np.uint8)
     sketch = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
     filled = np.zeros(len(texts) * BINS, bool)
     filled[doc * BINS + (h >> np.uint64(56)).astype(np.int64) % BINS] = True
     allowed = allowed_bits(filled.reshape(-1, BINS).sum(1), threshold)
-    names = ["digest", "prefixes", *_SKETCH]
-    columns = [pa.array(digest, pa.binary()), pa.array(list(prefix.view(np.int64)), pa.list_(pa.int64())), *(pa.array(sketch[:, k]) for k in range(BINS // 64)), pa.array(allowed)]
+    names = ["digest", "prefixes", "tails", *_SKETCH]
+    lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).reshape(-1)), TREES).cast(pa.list_(pa.int64()))
+    columns = [pa.array(digest, pa.binary()), lists(prefix), lists(tail), *(pa.array(sketch[:, k]) for k in range(BINS // 64)), pa.array(allowed)]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def sign(docs: DataFrame, n: int, depth: int, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``id, digest, prefixes, sketch0.., allowed`` of every document."""
+def sign(docs: DataFrame, n: int, depth: int, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, h, bytes`` of every row as they are, and what :func:`forest_rows` says of its ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .token_counts import blocks
-
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks([t or "" for t in texts], 1_500_000):
-                for c in range(a, b, 2000):
-                    end = min(b, c + 2000)
-                    made = forest_rows(texts[c:end], n, depth, threshold)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[c:end], *made.columns], names=["id", *made.schema.names])
+            at = 0
+            for block in text_blocks(batch.column(3), SIGN_BYTES):
+                for c in range(0, len(block), SIGN_ROWS):
+                    texts = strings(block.slice(c, SIGN_ROWS))
+                    made = forest_rows(texts, n, depth, threshold)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(texts)) for k in range(3)), *made.columns], names=["id", "h", "bytes", *made.schema.names])
+                    at += len(texts)
 
-    fields = ", ".join(["id bigint", "digest binary", "prefixes array<bigint>", *(f"{s} bigint" for s in _SKETCH)])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, fields)
+    rows = docs.select("id", "h", "bytes", "text")
+    fields = ", ".join(["digest binary", "prefixes array<bigint>", "tails array<bigint>", *(f"{s} bigint" for s in _SKETCH)])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *T._parse_datatype_string(fields).fields]))
 
 
 def _lowest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -202,11 +238,11 @@ def _alike(ids: np.ndarray, block: np.ndarray, sketches: np.ndarray, allowed: np
 
 
 def _crowd_edges(members: DataFrame) -> DataFrame:
-    """``a, b`` from ``prefix, blocks, id, sketch0.., allowed``: edges that join all members of a prefix whose sketches agree."""
+    """``a, b`` from ``node, blocks, id, sketch0.., allowed``: edges that join all members of a node whose sketches agree."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *_SKETCH)
-    key = ["prefix", "i", "j"]
+    dealt = dealt.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", *_SKETCH)
+    key = ["node", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cells(rows: np.ndarray) -> pa.RecordBatch:
@@ -235,11 +271,42 @@ def _crowd_edges(members: DataFrame) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "a bigint, b bigint")
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """``a, b``: edges whose components hold every two classes that share a prefix and whose sketches agree."""
-    rows = reps.select("id", F.explode("prefixes").alias("prefix"))
-    least = rows.groupBy("prefix").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = materialise(rows.join(least, "prefix").where("id != a").select("prefix", "n", "a", F.col("id").alias("b")))
+def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` plus ``name``: how many have the same ``key``."""
+    sizes = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias(name)))
+    return attach(rows, sizes, key, name, rows.count())
+
+
+def forest_nodes(reps: DataFrame, depth: int, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``node, id``: the nodes where each class is matched, as far as others are there; ``depth`` is that of ``prefixes``."""
+    trees = reps.select("id", F.explode(F.arrays_zip("prefixes", "tails")).alias("t")).select("id", F.col("t.prefixes").alias("prefix"), F.col("t.tails").alias("tail"))
+    shared = materialise(trees.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = materialise(attach(trees, shared, "prefix", "n", reps.count() * TREES).where("n is not null"))
+    miss = [math.log1p(-(threshold ** min(d, DEPTH))) for d in (depth, depth + 1, depth + 2)]
+    if TREES * miss[1] > math.log(1 - recall):
+        return rows.select(F.col("prefix").alias("node"), "id")  # no longer prefix finds enough
+    few = rows.where(F.col("n") <= CROWD).select(F.col("prefix").alias("node"), "id")
+    crowd = rows.where(F.col("n") > CROWD).select("id", F.xxhash64("prefix", F.shiftright("tail", 32)).alias("middle"), F.xxhash64("prefix", "tail", F.lit(2)).alias("whole"))
+    crowd = materialise(_counted(materialise(crowd), "middle", "n1"))
+    deep = (F.col("n1") > CROWD).cast("int")
+    by_class = Window.partitionBy("id")
+    # Log of the chance that no tree finds a pair at the threshold, over the trees of this class.
+    chance = F.lit(TREES * miss[0]) + F.sum(F.when(deep == 1, miss[2] - miss[0]).otherwise(miss[1] - miss[0])).over(by_class)
+    need = F.ceil((chance - math.log(1 - recall)) / max(miss[2] - miss[1], 1e-12))
+    turn = F.row_number().over(by_class.orderBy(F.desc(deep), "n1", "middle"))
+    judged = crowd.withColumn("deep", deep).withColumn("given", (F.col("n1") > CROWD) & (turn <= need))
+    judged = materialise(judged)
+    given = materialise(judged.where("given").groupBy("middle").agg(F.max("n1").alias("n1"), F.max("given").alias("short")))
+    settled = attach(judged.select("id", "middle", "whole", "deep"), given, "middle", "n1", judged.count())
+    node = F.when((F.col("deep") == 0) | F.coalesce("short", F.lit(False)), F.col("middle")).otherwise(F.col("whole"))
+    return few.unionByName(settled.select(node.alias("node"), "id"))
+
+
+def _candidates(reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b``: edges whose components hold every two classes that share a node and whose sketches agree."""
+    nodes = materialise(nodes)
+    least = materialise(nodes.groupBy("node").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    stars = materialise(attach(nodes, least, "node", "n", nodes.count()).where("id != a").select("node", "n", "a", F.col("id").alias("b")))
     side = lambda k: reps.select(F.col("id").alias(k), *[F.col(s).alias(f"{k}_{s}") for s in _SKETCH])
     both = stars.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
     differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _WORDS), F.lit(0))
@@ -247,9 +314,9 @@ def _candidates(reps: DataFrame) -> DataFrame:
     judged = materialise(both.select("a", "b", (differ <= F.greatest("a_allowed", "b_allowed")).alias("agree")))
     # Where a link to the smallest is cut, the pairs among the others are no longer joined through it.
     cut = stars.where("n > 2").join(judged.where("not agree"), ["a", "b"], "left_semi")
-    crowds = materialise(cut.groupBy("prefix").agg(F.max("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int")))
-    members = attach(stars.select("prefix", F.col("b").alias("id")), crowds, "prefix", "n", stars.count()).where("blocks is not null")
-    members = members.select("prefix", "blocks", "id").join(reps.select("id", *_SKETCH), "id")
+    crowds = materialise(cut.groupBy("node").agg(F.max("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int")))
+    members = attach(stars.select("node", F.col("b").alias("id")), crowds, "node", "n", stars.count()).where("blocks is not null")
+    members = members.select("node", "blocks", "id").join(reps.select("id", *_SKETCH), "id")
     return judged.where("agree").select("a", "b").unionByName(_crowd_edges(members))
 
 
@@ -324,23 +391,21 @@ def _verify(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, texts: list[
     return links[back], lowest[back]
 
 
-def _cells(docs: DataFrame, members: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """``id, links, lowest`` of each class in each of its cells."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _cells(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``id, links, lowest`` of each class in each of its cells, from ``id, h, text`` of all rows and ``rep, h`` of the classes' own."""
     # Members grow with the input, so the plan is the same at any size: texts are dealt by id.
-    texts = texts.join(members.hint("merge"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    own = members.withColumnRenamed("id", "number").withColumnRenamed("h", "own_h").hint("merge")
+    texts = docs.select(F.col("id").alias("doc"), "h", "text").join(own, F.col("doc").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("own_h")))
+    block = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")
     dealt = texts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text")
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "number", "copies", "digest", "text")
     key = ["component", "i", "j"]
-    sorted_cells = dealt.repartition(*key).sortWithinPartitions(*key, "id")
+    sorted_cells = dealt.repartition(*key).sortWithinPartitions(*key, "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cell(rows: list) -> pa.RecordBatch:
-            table = {r[4]: r for r in rows}  # a repeated row of a representative counts once
-            rows = list(table.values())
             ids, copies, block = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 3))
-            links, lowest = _verify(ids, copies, block, [r[6] for r in rows], n, threshold)
+            links, lowest = _verify(ids, copies, block, [r[7] for r in rows], n, threshold)
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(lowest)], names=["id", "links", "lowest"])
 
         held: list = []
@@ -349,6 +414,11 @@ def _cells(docs: DataFrame, members: DataFrame, n: int, threshold: float, id_col
                 if held and held[0][:3] != row[:3]:
                     yield cell(held)
                     held = []
+                # Rows that repeat the class's own row count once; if their texts only share its hash, the digest tells.
+                if held and held[-1][4] == row[4]:
+                    if held[-1][7] != row[7] and digests([row[7]], n)[0] == row[6]:
+                        held[-1] = row
+                    continue
                 held.append(row)
         if held:
             yield cell(held)
@@ -364,24 +434,38 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, threshold: float = THR
     document of fewer than n words has all its words as its one shingle. ``class_id`` is
     the smallest id that links lead to, ``n_links`` the number of other documents that the
     document is linked with, ``n_copies`` how many have exactly its shingles (itself
-    included). Documents without words (null, empty, white space) are copies of each
-    other. Rows with a null id are left out; rows that repeat an id need the same text and
-    count as one document each. Extra columns are ignored.
+    included). Ids may have any type that has an order.
+
+    Documents without words (null, empty, white space) are copies of each other. Rows with
+    a null id take part like all others; ``class_id`` is null if only such rows are linked.
+    Rows that repeat an id are a document each, with the same text or not. Texts of any
+    length are compared whole. An empty table gives an empty result; extra columns are
+    ignored, whatever their names.
     """
-    rows = docs.where(F.col(id_col).isNotNull())
-    signed = materialise(sign(rows, n, prefix_depth(threshold, recall=recall), id_col, text_col, threshold))
-    classes = materialise(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    kept = signed.dropDuplicates(["digest"]).join(classes, "digest").where(F.size("prefixes") > 0)
-    reps = materialise(kept.select(F.col("rep").alias("id"), "copies", "prefixes", *_SKETCH))
-    groups = components(_candidates(reps), "a", "b").select(F.col("node").alias("id"), "component")
-    found = materialise(groups.join(reps.select("id", "copies"), "id"))
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = found.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    cells = materialise(_cells(rows, members, n, threshold, id_col, text_col))
+    depth = max(prefix_depth(threshold, recall=recall) - 1, 1)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), text.alias("text"))
+    signed = materialise(sign(rows, n, depth, threshold))
+    # Classes have numbers of their own, fixed by writing them: ids may be missing, repeated or no numbers.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("bytes"))).alias("own")
+    classes = signed.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("number"), "digest", F.col("own.id").alias("rep"), F.col("own.h").alias("h"), F.col("own.bytes").alias("bytes"), "copies"))
+    first = signed.dropDuplicates(["digest"]).where(F.size("prefixes") > 0).select("digest", "prefixes", "tails", *_SKETCH)
+    reps = materialise(first.join(classes.select("number", "digest"), "digest").select(F.col("number").alias("id"), "prefixes", "tails", *_SKETCH))
+    groups = components(_candidates(reps, forest_nodes(reps, depth, threshold, recall)), "a", "b").select(F.col("node").alias("number"), "component")
+    found = materialise(groups.join(classes, "number").select(F.col("number").alias("id"), "component", "digest", "rep", "h", "bytes", "copies"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
+    sizes = materialise(found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")))
+    members = materialise(attach(found, sizes, "component", "n", found.count()).drop("n", "bytes"))
+    cells = materialise(_cells(rows, members, n, threshold))
     links = cells.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(cells.where("lowest != id"), "id", "lowest")
-    told = links.join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    result = classes.join(told.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    result = materialise(result)
+    joined = components(cells.where("lowest != id"), "id", "lowest").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    # Of a group, the smallest id of a document.
+    told = materialise(members.select("id", "rep").join(joined, "id"))
+    names = materialise(told.groupBy("group").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n")))
+    told = links.join(attach(told, names, "group", "n", told.count()).select("id", "class_id", F.lit(True).alias("linked")), "id", "left")
+    result = classes.join(told.withColumnRenamed("id", "number"), "number", "left")
+    own = F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep"))
+    result = materialise(result.select("digest", "copies", own.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     shown = attach(signed.select("id", "digest"), result, "digest", "copies", signed.count())
     return shown.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("copies").alias("n_copies"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join
 from tessera.llm.components import components
@@ -86,9 +87,10 @@ def test_crowded_prefix_keeps_its_pairs(spark, monkeypatch):
     pairs = [[word() for _ in range(4)] for _ in range(40)]
     rows = [(0, 1, [7], *(word() for _ in range(4)), 64)] + [(1 + k + 40 * half, 1, [7], *pairs[k], 64) for k in range(40) for half in range(2)]
     reps = spark.createDataFrame(rows, "id long, copies long, prefixes array<long>, sketch0 long, sketch1 long, sketch2 long, sketch3 long, allowed long")
+    nodes = reps.selectExpr("prefixes[0] as node", "id")
     for block in (2048, 9):
         monkeypatch.setattr(ngram_join, "PREFIX_BLOCK", block, raising=False)
-        got = {(r.node, r.component) for r in components(ngram_join._candidates(reps), "a", "b").collect()}
+        got = {(r.node, r.component) for r in components(ngram_join._candidates(reps, nodes), "a", "b").collect()}
         assert got == {(1 + k + 40 * half, 1 + k) for k in range(40) for half in range(2)}
 
 
@@ -124,6 +126,74 @@ def test_ngram_join_under_a_template(spark, monkeypatch):
     assert all(got[i] == (i, 0) for i in range(2500))
 
 
+def brute_forest(labels, depth, threshold, recall, crowd):
+    """Per class and tree, the length of the prefix that is matched, by walking all tries."""
+    import math
+    from collections import Counter
+
+    n, trees = len(labels), len(labels[0])
+    count = [Counter(tuple(x[t][:d]) for x in labels for d in range(1, len(x[t]) + 1)) for t in range(trees)]
+    size = lambda i, t, d: count[t][tuple(labels[i][t][:d])]
+    miss = {d: math.log1p(-(threshold**d)) for d in range(depth, depth + 3)}
+    used = [[depth if size(i, t, depth) <= crowd else depth + 1 if size(i, t, depth + 1) <= crowd else depth + 2 for t in range(trees)] for i in range(n)]
+    given = [0] * n
+    active = [set() for _ in range(trees)]
+    for i in range(n):
+        now = sum(miss[d] for d in used[i])
+        deep = sorted((t for t in range(trees) if used[i][t] == depth + 2), key=lambda t: size(i, t, depth + 1))
+        while now > math.log(1 - recall) and given[i] < len(deep):
+            t = deep[given[i]]
+            active[t].add(tuple(labels[i][t][: depth + 1]))
+            now += miss[depth + 1] - miss[depth + 2]
+            given[i] += 1
+    return [[depth + 1 if used[i][t] == depth + 2 and tuple(labels[i][t][: depth + 1]) in active[t] else used[i][t] for t in range(trees)] for i in range(n)], given
+
+
+def test_forest_shortens_prefixes_until_the_recall(spark, monkeypatch):
+    """Every class reaches the target recall, and pairs meet where the walk over all tries says."""
+    import math
+
+    monkeypatch.setattr(ngram_join, "CROWD", 6)
+    monkeypatch.setattr(ngram_join, "TREES", 12)
+    rng = random.Random(4)
+    recall, threshold, depth = 0.9, 0.8, 6
+    family = [[rng.randrange(3) for _ in range(8)] for _ in range(12)]
+    labels = [[[b if rng.random() < 0.93 else rng.randrange(9) for b in tree] for tree in family] for _ in range(80)]
+    labels += [[[rng.randrange(10**6) for _ in range(8)] for _ in range(12)] for _ in range(20)]
+    code = lambda *x: hash(x) % 2**62
+    rows = [(i, [code(t, *x[t][:6]) for t in range(12)], [(x[t][6] << 32) | x[t][7] for t in range(12)]) for i, x in enumerate(labels)]
+    reps = spark.createDataFrame(rows, "id long, prefixes array<long>, tails array<long>").repartition(3)
+    got = {}
+    for r in ngram_join.forest_nodes(reps, depth, threshold, recall).collect():
+        got.setdefault(r.node, set()).add(r.id)
+    used, given = brute_forest(labels, depth, threshold, recall, 6)
+    want = {}
+    for i, x in enumerate(labels):
+        assert sum(math.log1p(-(threshold ** used[i][t])) for t in range(12)) <= math.log(1 - recall) + 1e-9
+        for t in range(12):
+            want.setdefault((t, *x[t][: used[i][t]]), set()).add(i)
+    assert max(given) > 0 and {8} <= {d for u in used for d in u}
+    sets = lambda groups: sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    assert sets(got) == sets(want)
+
+
+def test_ids_that_are_missing_repeated_or_texts(spark):
+    base = [f"w{k}" for k in range(40)]
+    near = [*base[:-1], "other"]
+    rows = [("b", " ".join(base)), ("a", " ".join(near)), (None, " ".join(base)), ("c", "something else"), ("c", "of another kind"), (None, "alone here"), (None, " ".join([*near[:-1], "third"])), (None, None), ("d", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("digest", F.lit("x")).withColumn("number", F.lit(1)).withColumn("h", F.lit(2)).repartition(3)
+    got = sorted((tuple(r) for r in ngram_jaccard_join(docs).collect()), key=str)
+    want = [("b", "a", 3, 2), ("a", "a", 3, 1), (None, "a", 3, 2), ("c", "c", 0, 1), ("c", "c", 0, 1), (None, None, 0, 1), (None, "a", 3, 1), (None, "d", 1, 2), ("d", "d", 1, 2)]
+    assert got == sorted(want, key=str)
+
+
+def test_short_texts_are_told_apart_by_words(monkeypatch):
+    """Equal hashes of different short texts don't make copies."""
+    assert len(set(ngram_join.digests(["a b", "b a", "a  B", "a b c d e", "a b c d", "", " ", None], 5))) == 5
+    monkeypatch.setattr(ngram_join.xxhash, "xxh64_intdigest", lambda w: 7)
+    assert len(set(ngram_join.digests(["one", "two", "one two three four five", "one two three four six"], 5))) == 4
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(9, None), (7, 7)]
