@@ -11,16 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, materialise, shared_dir
+from .skew import attach
 
 MAX_ROUNDS = 60
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """(``u, v, m``, ``u, m``): the smallest neighbour of each node; a hub's edges don't meet in one task."""
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), path)
+    return attach(edges, least, "u", "n", total).drop("n"), least.select("u", "m")
+
+
+def _round(edges: DataFrame, total: int, path: str) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-    small = large.groupBy("u").agg(F.min("v").alias("m"))
-    moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near, _ = _with_least(both, 2 * total, f"{path}/least")
+    large = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+    large = materialise(large, f"{path}/large")
+    near, small = _with_least(large, large.count(), f"{path}/small")
+    moved = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(small.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
 
 
@@ -42,9 +50,11 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     for turn in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        after = materialise(_round(now), f"{folder}/{turn + 1}")
+        steps = f"{folder}/{turn + 1}-steps"
+        after = materialise(_round(now, mark[0], steps), f"{folder}/{turn + 1}")
         before, mark, now = mark, _mark(after), after
-        discard(edges.sparkSession, f"{folder}/{turn}")
+        for done in (f"{folder}/{turn}", steps):
+            discard(edges.sparkSession, done)
         if mark == before:
             break
     else:

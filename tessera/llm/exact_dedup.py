@@ -47,9 +47,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of
     equal texts the row with the largest id stays. Rows that repeat an id with the same
-    text share its verdict; a null id is never the largest (with null ids only, keep_id
-    is null and no row stays). An empty table gives an empty result. Columns of the input
-    that have the name of a result column give way to it.
+    text share its verdict; a null id is never the largest. With null ids only, keep_id is null
+    and all these rows stay, as nothing tells them apart. Texts of any length are compared
+    whole. An empty table gives an empty result. Columns of the input that have the name of
+    a result column give way to it; other names are free, but for those that begin with two
+    underscores.
     """
     digest = digest or (lambda c: F.sha2(c, 256))
     results = ["keep_id", "group_size", "kept", "text_sha256"]
@@ -57,18 +59,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = materialise(content_groups(docs, id_col, text_col, digest).where((F.col("group_size") > 1) | (F.col("variants") > 1)))
     content = normalised(F.col(text_col))
     # The digests are taken before the join, so a caller who drops the text shuffles none of it.
-    rows = docs.select(*keep, digest(content).alias("digest"), F.sha2(content, 256).alias("text_sha256"))
-    found = attach(rows, groups, "digest", "group_size", docs.count())
-    if groups.where("variants > 1").limit(1).count():
+    rows = docs.select(*keep, digest(content).alias("__digest"), F.sha2(content, 256).alias("__sha256"))
+    groups = groups.toDF("__digest", "__variants", "__keep", "__size")
+    found = attach(rows, groups, "__digest", "__size", docs.count())
+    if groups.where("__variants > 1").limit(1).count():
         found = _by_content(found, id_col, text_col)
-    keep_id = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
-    size = F.coalesce("group_size", F.lit(1)).cast("long")
-    return found.select(*keep, keep_id.alias("keep_id"), size.alias("group_size"), F.coalesce(F.col(id_col) == keep_id, F.lit(False)).alias("kept"), "text_sha256")
+    keep_id = F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep"))
+    size = F.coalesce("__size", F.lit(1)).cast("long")
+    return found.select(*keep, keep_id.alias("keep_id"), size.alias("group_size"), F.col(id_col).eqNullSafe(keep_id).alias("kept"), F.col("__sha256").alias("text_sha256"))
 
 
 def _by_content(found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For digests with several contents, group by the content itself."""
-    clear = found.where(F.coalesce(F.col("variants"), F.lit(1)) == 1)
-    mixed = found.where(F.col("variants") > 1).drop("keep_id", "group_size").withColumn("__content", normalised(F.col(text_col)))
-    groups = mixed.groupBy("digest", "__content").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return clear.unionByName(mixed.join(groups, ["digest", "__content"]).select(*clear.columns))
+    clear = found.where(F.coalesce(F.col("__variants"), F.lit(1)) == 1)
+    mixed = found.where(F.col("__variants") > 1).drop("__keep", "__size").withColumn("__content", normalised(F.col(text_col)))
+    groups = mixed.groupBy("__digest", "__content").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    return clear.unionByName(mixed.join(groups, ["__digest", "__content"]).select(*clear.columns))

@@ -22,6 +22,8 @@ CHUNK, STEP = 1024, 896
 WIDTH, STRIDE, DIMS, FILTERS = 12, 4, 8, 24
 #: At most so many labelled rows are used for training: those with the smallest hash of their id.
 TRAIN_ROWS = 3000
+#: Rows with more bytes of text aren't trained on (all are scored whole), so the sample's bytes are bounded, too.
+TRAIN_BYTES = 131_072
 EPOCHS, BATCH_CHUNKS, RATE = 8, 160, 0.01
 #: A small sample is gone over more often, until so many steps are made.
 LEAST_STEPS = 400
@@ -177,14 +179,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train_on_labels(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> Net | None:
-    """A network from at most ``rows`` labelled documents that aren't held out; None without any.
+    """A network from at most ``rows`` labelled documents of at most TRAIN_BYTES that aren't held out; None without any.
 
     The rows are those with the smallest hash of their id, so the sample doesn't depend on
     partitions. Labels other than 0 and 1 and rows without an id are ignored.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").dropDuplicates(["doc_id"])
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(2 * rows).collect()
+    sample = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(2 * rows).collect()
     return train([r["text"] or "" for r in sample], [r["quality"] for r in sample], seed) if sample else None
 
 
@@ -192,8 +194,9 @@ def classify(docs: DataFrame, net: Net | None, carry: list[str] | None = None) -
     """The columns ``carry`` (default: all) plus ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     Only the text is an input. Null counts as empty, which is scored like any text. Without
-    a network (no labelled rows) the score is 0.5. Repeated rows each get a row; input
-    columns named like a result column are replaced.
+    a network (no labelled rows) the score is 0.5. Texts of any length are scored whole, in
+    chunks. Repeated rows each get a row, an empty table gives none; input columns named
+    like a result column are replaced.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -77,8 +77,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     Counts are those of the library for the file (.json: tokenizers, .model:
     sentencepiece) over the whole text, with no begin, end or added tokens, truncation or
     padding; special strings in a text count as the library has it. A null text counts as
-    empty: 0 bytes, 0 tokens. Repeated rows each get a row; input columns with the name of
-    a result column are replaced.
+    empty: 0 bytes, 0 tokens; a text of any length is counted whole. Repeated rows each get
+    a row, an empty table gives none; input columns with the name of a result column are
+    replaced.
     """
     names = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in (docs.columns if carry is None else carry) if c not in names]

@@ -104,8 +104,10 @@ def encoder_of(path: str) -> IdEncoder:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Write the files; returns the manifest ``part, path, n_docs, n_ids``, ordered by part.
 
-    Documents are in ascending order of ``id_col``, null ids first; the order among rows
-    with the same id is open. A null text has no ids but the end id.
+    Ids are integers. Documents are in ascending order of ``id_col``, null ids first; the
+    order among rows with the same id is open. A null or empty text has no ids but the end
+    id; a text of any length is encoded whole. An empty table has no files; extra columns
+    are ignored.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import materialise
+from .skew import attach
 
 #: (verdict, host, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -87,54 +88,68 @@ def _edges(rows: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
     return found.where("url is not null and target is not null and url != target").distinct()
 
 
-def _target_edges(target: Column) -> list[tuple[Column, Column]]:
-    """A target is joined to its canonical form, as page URLs are, with and without dot segments."""
+def _target_edges(target: Column, variants: bool) -> list[tuple[Column, Column]]:
+    """A target is joined to itself without dot segments, and both to their canonical forms, as page URLs are."""
     plain = _without_dots(target)
-    return [(target, canonical_form(target)), (target, plain), (plain, canonical_form(plain))]
+    return [(target, plain), *([(target, canonical_form(target)), (plain, canonical_form(plain))] if variants else [])]
 
 
-def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``url, target``: each page's canonical form, its canonical links and refresh redirects, and the canonical forms of these."""
+def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", variants: bool = True) -> DataFrame:
+    """``url, target``: each page's canonical form, its canonical links and refresh redirects, and the canonical forms of these.
+
+    Without ``variants`` no canonical form is taken: only links that pages state are edges.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     links = [F.regexp_extract_all(html, F.lit(pattern), F.lit(1)) for pattern in (_CANONICAL, _REFRESH)]
     # The null stands for the page itself.
     found = pages.select(F.col(url_col).alias("url"), F.explode(F.concat(F.array(F.lit(None).cast("string")), *links)).alias("link"))
     found = found.select("url", F.when(F.col("link").isNotNull(), _absolute(F.col("link"), F.col("url"))).alias("target"))
     url, target = F.col("url"), F.col("target")
-    return _edges(found, (url, canonical_form(url)), (url, target), *_target_edges(target))
+    return _edges(found, (url, target), *_target_edges(target, variants), *([(url, canonical_form(url))] if variants else []))
 
 
-def redirect_edges(redirects: DataFrame) -> DataFrame:
+def redirect_edges(redirects: DataFrame, variants: bool = True) -> DataFrame:
     """``url, target``: the given redirects and the canonical forms of both ends."""
     url, target, whole = F.col("url"), F.col("target"), F.col("whole")
     given = redirects.select("url", "target", _absolute(target, url).alias("whole"))
-    return _edges(given, (url, target), (url, whole), *_target_edges(url), *_target_edges(whole))
+    return _edges(given, (url, target), (url, whole), *_target_edges(url, variants), *_target_edges(whole, variants))
 
 
-def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html", variants: bool = True) -> DataFrame:
     """The pages' columns plus ``host, path, rule, verdict``.
 
     A rule that fits the URL decides. Else its aliases do: allow if a rule allows one of
     them, block if a rule blocks one, allow otherwise. ``redirects`` (url, target) adds
-    edges known from a crawl; their targets, like links of pages, may be relative. Null URLs and those without a scheme have an empty host and
-    path, no aliases and the verdict allow. Repeated pages each get a row; result columns
-    replace input columns of the same name. Without an html column there are no page links.
+    edges known from a crawl; their targets, like links of pages, may be relative.
+    ``variants`` also counts the spellings of a URL that servers commonly redirect to one
+    form as aliases (see :func:`canonical_form`), though nobody saw these redirects; without
+    it only stated links and redirects carry verdicts.
+
+    Null URLs and those without a scheme have an empty host and path, no aliases and the
+    verdict allow. Null html has no links; html of any length is searched whole. Repeated
+    pages each get a row; of equally long rules an allow wins. Result columns replace input
+    columns of the same name, other names are free but for those that begin with two
+    underscores. Without an html column there are no page links; an empty table gives none.
     """
     pages = pages if html_col in pages.columns else pages.withColumn(html_col, F.lit(None).cast("string"))
-    edges = alias_edges(pages, url_col, html_col)
+    edges = alias_edges(pages, url_col, html_col, variants)
     if redirects is not None:
-        edges = edges.unionByName(redirect_edges(redirects))
-    edges = materialise(edges.select("url", "target", F.xxhash64("url").alias("u"), F.xxhash64("target").alias("v")))
+        edges = edges.unionByName(redirect_edges(redirects, variants))
+    # Nodes are 128-bit digests of URLs: components then moves fixed-width rows only.
+    node = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    edges = materialise(edges.select("url", "target", node("url").alias("u"), node("target").alias("v")))
     fit = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
-    # Ids of URLs are 64-bit hashes: components then moves fixed-width rows only.
-    named = edges.select("url").union(edges.select(F.col("target").alias("url"))).distinct().select("url", F.xxhash64("url").alias("node"), fit.alias("own"))
+    named = edges.select("url").union(edges.select(F.col("target").alias("url"))).distinct().select("url", node("url").alias("node"), fit.alias("own"))
     groups = components(edges, "u", "v")
     known = materialise(named.join(groups, "node").select("url", "component", "own"))
-    says = known.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
-    told = says.where("blocked and not coalesce(allowed, false)").select("component")
-    blocked = known.where("own is null").join(told, "component", "left_semi").select(F.col("url").alias("__url"), F.lit(True).alias("__blocked"))
+    says = known.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"), F.count(F.lit(1)).alias("size"))
+    told = materialise(says.where("blocked and not coalesce(allowed, false)").select("component", "size", F.lit(True).alias("told")))
+    blocked = attach(known.where("own is null"), told, "component", "size", known.count()).where("told").select("url")
+    # Neither a resource of very many aliases nor a very common URL is one task.
+    often = pages.groupBy(F.col(url_col).alias("url")).agg(F.count(F.lit(1)).alias("__often"))
+    blocked = materialise(blocked.join(often, "url").select(F.col("url").alias("__url"), "__often", F.lit(True).alias("__blocked")))
     own = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     own = own.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
-    out = own.join(blocked, F.col(url_col) == F.col("__url"), "left")
+    out = attach(own.withColumn("__url", F.col(url_col)), blocked, "__url", "__often", pages.count())
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__blocked"), F.lit("block")), F.lit("allow"))
     return out.select(*[c for c in own.columns if c != "__rule"], F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))

@@ -39,8 +39,8 @@ def _label(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _urn(page_id: int | None) -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}>"
 
 
 def _clean(url: str | None) -> str:
@@ -55,7 +55,7 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(head.encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """The response of a page, or its revisit if ``refers_to`` names the page with the payload."""
     block = _HTTP + payload if refers_to is None else _HTTP
     headers = [
@@ -113,7 +113,7 @@ def read_page(headers: dict[str, str], block: bytes) -> tuple:
     payload = block.partition(b"\r\n\r\n")[2]
     if kind == "response" and digest != _label(hashlib.sha1(payload).digest()):
         raise ValueError("payload digest mismatch")
-    number = lambda urn: int(urn.rpartition(":")[2].rstrip(">"))
+    number = lambda urn: int(urn.rpartition(":")[2].rstrip(">")) if urn.startswith("<urn:page:") else None
     size = len(payload) if kind == "response" else int(headers["x-payload-length"])
     refers = headers.get("warc-refers-to")
     return number(headers["warc-record-id"]), headers["warc-target-uri"], size, base64.b32decode(digest.removeprefix("sha1:")).hex(), kind, number(refers) if refers else None
@@ -122,8 +122,10 @@ def read_page(headers: dict[str, str], block: bytes) -> tuple:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, refers_to``: the page that holds an equal payload, or null.
 
-    Payloads count as equal by SHA-256 and size. Of equal ones of REVISIT_BYTES or more,
-    that with the largest page_id is stored. Rows that repeat this page_id are all stored.
+    Payloads count as equal by SHA-256. Of equal ones of REVISIT_BYTES or more, that with
+    the largest page_id is stored. Rows that repeat this page_id are all stored, and so are
+    rows without a page_id if no equal payload has one. Null html is an empty payload.
+    Extra columns are ignored, whatever their names; an empty table gives none.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     digest = F.sha2(payload, 256)
@@ -131,14 +133,15 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     groups = materialise(large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     rows = pages.select("page_id", "url", payload.alias("payload"), digest.alias("digest"))
     found = attach(rows, groups, "digest", "size", pages.count())
-    return found.select("page_id", "url", "payload", F.when(F.col("holder") != F.col("page_id"), F.col("holder")).alias("refers_to"))
+    return found.select("page_id", "url", "payload", F.when(~F.col("holder").eqNullSafe(F.col("page_id")), F.col("holder")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record per page; returns the manifest ``part, path, records, bytes``.
 
-    Null html is an empty payload, a null url an empty target; a null page_id can't name a
-    record and fails. Tasks start a new archive after ARCHIVE_BYTES.
+    Null html is an empty payload, a null url an empty target; the record of a null page_id
+    has no number. Payloads of any length are one record. Tasks start a new archive after
+    ARCHIVE_BYTES; an empty table has none.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +156,6 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                if page_id is None:
-                    raise ValueError("a page needs a page_id")
                 if out is None:
                     path, records, size = f"{base}/warc/part-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     store.create_dir(f"{base}/warc", recursive=True)
@@ -217,6 +218,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """Write archives of ``pages`` (page_id, url, html) and read them back as RECORD rows."""
+    """Write archives of ``pages`` (page_id, url, html) and read them back as RECORD rows.
+
+    One row per page: see :func:`with_revisits` and :func:`write_archives` for nulls,
+    repeated rows and ties.
+    """
     folder = shared_dir(pages.sparkSession)
     return read_archives(pages.sparkSession, write_archives(pages, folder), folder)
