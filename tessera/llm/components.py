@@ -17,7 +17,7 @@ MAX_ROUNDS = 60
 
 
 def _with_least(edges: DataFrame, total: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """(``u, v, m``, ``u, m``): the smallest neighbour of each node; a hub's edges don't meet in one task."""
+    """(``u, v, m``, ``u, m``): the smallest neighbour of each node; a hub's edges don't meet in one task. There are at most ``total`` edges."""
     least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), path)
     return attach(edges, least, "u", "n", total).drop("n"), least.select("u", "m")
 
@@ -27,7 +27,7 @@ def _round(edges: DataFrame, total: int, path: str) -> DataFrame:
     near, _ = _with_least(both, 2 * total, f"{path}/least")
     large = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
     large = materialise(large, f"{path}/large")
-    near, small = _with_least(large, large.count(), f"{path}/small")
+    near, small = _with_least(large, 2 * total, f"{path}/small")
     moved = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(small.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
 

@@ -183,7 +183,9 @@ def _mapped(df: DataFrame, fields: T.StructType, keep: list[str], source: str, s
 def store_media(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` (default: all) plus ``n_bytes`` and the container ``media``.
 
-    Null and empty texts store one frame of zeros. Input columns of these names are replaced.
+    Null and empty texts store one frame of zeros; a text of any length is stored whole.
+    Repeated rows each get a row, an empty table gives none. Input columns of these names
+    are replaced.
     """
 
     def step(text: str | None) -> tuple:

@@ -23,8 +23,6 @@ from .skew import attach
 LEVELS = ("domain", "lang", "source")
 #: Weights of nodes by their path; 1 for others.
 WEIGHTS = {("curated",): 2.0, ("web",): 1.0, ("curated", "en"): 2.0, ("web", "en"): 2.0}
-#: Up to this many leaves, their plan (about 100 bytes each) is broadcast.
-BROADCAST_LEAVES = 50_000
 
 
 def domain_of(source: Column) -> Column:
@@ -98,52 +96,61 @@ def _boundary(sums: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 0.9, weights: dict | None = None, max_epochs: int = 4, seed: int = 11, id_col: str = "doc_id", domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """All rows of ``docs`` plus ``domain, tokens, epochs, copies``.
-
-    The budget is ``share`` of all tokens. ``copies`` counts how often the document is
-    selected: ``epochs`` whole passes over its leaf and one more if it lies in the prefix.
-    A leaf of unknown language or source counts under the empty name. Documents without
-    tokens take none and follow their place in the order; equal keys go by id. Rows that
-    repeat an id are selected together. An empty table gives an empty result. Input columns
-    with the name of a result column are replaced, except ``domain`` if it is given.
+    """All rows of ``docs`` plus ``domain, tokens, epochs, copies, cut_tokens``.
+
+    The budget is ``share`` of all tokens. ``copies`` counts how often the whole document is
+    selected: ``epochs`` passes over its leaf and one more if it lies in the prefix. The
+    prefix of tokens may end inside a document; there ``cut_tokens`` is how many of its
+    first tokens are selected once more (0 for all others), so that ``copies * tokens +
+    cut_tokens`` over all rows is the budget.
+
+    A leaf of unknown domain, language or source counts under the empty name. Documents
+    without tokens (null or empty texts) take none and follow their place in the order;
+    equal keys go by id, null ids first. Rows that repeat an id are selected together, and
+    none of them is cut. Texts of any length count whole. An empty table gives an empty
+    result. Input columns with the name of a result column are replaced, except ``domain``
+    if it is given; other names are free but for those that begin with two underscores.
     """
     weights = WEIGHTS if weights is None else weights
     domain = domain_of(F.col("source")) if domain is None else domain
     tokens = word_count(F.col("text")) if tokens is None else tokens
-    results = ["domain", "tokens", "epochs", "copies"]
+    results = ["domain", "tokens", "epochs", "copies", "cut_tokens"]
     keep = [c for c in docs.columns if c not in results]
     name = lambda c: F.coalesce(c, F.lit(""))
     path = {"domain": name(domain), "lang": name(F.col("lang")), "source": name(F.col("source"))}
     leaf = F.struct(*[path[c].alias(c) for c in LEVELS])
     narrow = materialise(docs.select(F.col(id_col).alias("id"), leaf.alias("leaf"), tokens.alias("tokens")))
     leaves = materialise(narrow.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("tokens")).select("leaf.*", "n_docs", "tokens"))
-    total = leaves.agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("leaves"), F.sum("n_docs").alias("docs")).first()
+    total = leaves.agg(F.sum("tokens").alias("n"), F.sum("n_docs").alias("docs")).first()
+    n_docs = total["docs"] or 0
     plan = leaf_budgets(leaves, int(share * (total["n"] or 0)), weights, max_epochs)
     plan = materialise(plan.select(F.struct(*LEVELS).alias("leaf"), "n_docs", "epochs", "rest"))
-    small = total["leaves"] <= BROADCAST_LEAVES
-
-    def planned(rows: DataFrame, table: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(table), "leaf", "left") if small else attach(rows, table, "leaf", "n_docs", total["docs"])
-
-    keyed = planned(narrow, plan).withColumn("key", order_key(seed, F.col("epochs"), F.col("id")))
-    keyed = materialise(keyed.where("rest > 0").select("id", "leaf", "tokens", "rest", "n_docs", "key"))
+    keyed = attach(narrow, plan, "leaf", "n_docs", n_docs).withColumn("key", order_key(seed, F.col("epochs"), F.col("id")))
+    keyed = materialise(keyed.where("rest > 0").select("id", "leaf", "tokens", "rest", "key"))
     high, low = F.shiftright("key", 52), F.shiftright("key", 44).bitwiseAND(255)
     one = _boundary(keyed.groupBy("leaf", high.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest")))
     one = materialise(plan.select("leaf", "n_docs").join(one.select("leaf", F.col("bucket").alias("b1"), F.col("before").alias("t1")), "leaf"))
-    inside = planned(keyed.drop("n_docs"), one).where(high == F.col("b1")).withColumn("rest", F.col("rest") - F.col("t1"))
+    inside = attach(keyed, one, "leaf", "n_docs", n_docs).where(high == F.col("b1")).withColumn("rest", F.col("rest") - F.col("t1"))
     inside = materialise(inside.select("id", "leaf", "tokens", "rest", "key", "b1"))
     two = _boundary(inside.groupBy("leaf", low.alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest")))
-    # Documents of the last range, in order; the budget cuts among them.
+    # Documents of the last range, in order, rows of one id together; the budget ends in one of them.
     last = inside.join(two.select("leaf", F.col("bucket").alias("b2"), F.col("before").alias("t2")), "leaf").where(low == F.col("b2"))
-    order = Window.partitionBy("leaf").orderBy("key", "id")
-    last = last.withColumn("through", F.sum("tokens").over(order))
-    cut = last.groupBy("leaf", "b1", "b2").agg(F.max(F.when(F.col("through") <= F.col("rest") - F.col("t2"), F.struct("key", "id"))).alias("last"))
+    last = last.groupBy("leaf", "b1", "b2", "key", "id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.first(F.col("rest") - F.col("t2")).alias("room"))
+    last = last.withColumn("through", F.sum("tokens").over(Window.partitionBy("leaf").orderBy("key", "id")))
+    fits, left = F.col("through") <= F.col("room"), F.col("room") - F.col("through") + F.col("tokens")
+    ends = F.struct("key", "id", F.when(F.col("rows") == 1, left).otherwise(0).alias("tokens"))
+    cut = last.groupBy("leaf", "b1", "b2").agg(F.max(F.when(fits, F.struct("key", "id"))).alias("last"), F.min(F.when(~fits, ends)).alias("end"))
     start = (F.shiftleft(F.col("b1"), 52) + F.shiftleft(F.col("b2"), 44)).cast("long")
-    cut = cut.select("leaf", F.coalesce(F.col("last.key"), start - 1).alias("cut_key"), F.col("last.id").alias("cut_id"))
-    plan = materialise(plan.join(cut, "leaf", "left"))
-
-    rows = docs.select(*keep, leaf.alias("leaf"), tokens.alias("tokens"))
-    rows = planned(rows, plan).withColumn("key", order_key(seed, F.col("epochs"), F.col(id_col)))
-    within = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.coalesce(F.col(id_col) <= F.col("cut_id"), F.lit(True)))
-    copies = F.col("epochs") + F.when((F.col("rest") > 0) & F.coalesce(within, F.lit(True)), 1).otherwise(0)
-    return rows.select(*keep, F.col("leaf.domain").alias("domain"), "tokens", "epochs", copies.cast("long").alias("copies"))
+    cut = cut.select("leaf", F.coalesce(F.col("last.key"), start - 1).alias("cut_key"), F.col("last.id").alias("cut_id"), "end")
+    plan = plan.join(cut, "leaf", "left").select(F.col("leaf").alias("__leaf"), F.col("n_docs").alias("__n"), F.struct("epochs", "rest", "cut_key", "cut_id", "end").alias("__plan"))
+    plan = materialise(plan)
+
+    rows = docs.select(*keep, leaf.alias("__leaf"), tokens.alias("__tokens"))
+    of = lambda c: F.col(f"__plan.{c}")
+    rows = attach(rows, plan, "__leaf", "__n", n_docs).withColumn("__order", order_key(seed, of("epochs"), F.col(id_col)))
+    key = F.col("__order")
+    within = (key < of("cut_key")) | ((key == of("cut_key")) & F.coalesce(F.col(id_col) <= of("cut_id"), F.lit(True)))
+    copies = of("epochs") + F.when((of("rest") > 0) & F.coalesce(within, F.lit(True)), 1).otherwise(0)
+    ended = (of("rest") > 0) & (key == of("end.key")) & F.col(id_col).eqNullSafe(of("end.id"))
+    cut_tokens = F.when(ended, of("end.tokens")).otherwise(0).cast("long")
+    return rows.select(*keep, F.col("__leaf.domain").alias("domain"), F.col("__tokens").alias("tokens"), of("epochs").alias("epochs"), copies.cast("long").alias("copies"), cut_tokens.alias("cut_tokens"))

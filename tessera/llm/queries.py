@@ -54,7 +54,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epochs", "copies")
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "epochs", "copies", "cut_tokens")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,8 @@ plan AS (SELECT domain, lang, source, total, floor(budget + 1e-6)::BIGINT AS bud
 e AS (SELECT *, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS epochs FROM plan),
 k AS (SELECT d.*, epochs, budget - epochs * total AS rest, ('0x' || substr(md5('11:' || epochs || ':' || doc_id), 1, 15))::BIGINT AS key FROM d JOIN e USING (domain, lang, source)),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id) AS through FROM k)
-SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epochs, epochs + CASE WHEN rest > 0 AND through <= rest THEN 1 ELSE 0 END AS copies FROM c
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epochs, epochs + CASE WHEN rest > 0 AND through <= rest THEN 1 ELSE 0 END AS copies,
+  CASE WHEN through > rest AND through - tokens < rest THEN rest - (through - tokens) ELSE 0 END::BIGINT AS cut_tokens FROM c
 """
 
 QUERIES = {

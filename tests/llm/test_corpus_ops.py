@@ -212,8 +212,8 @@ def test_components(spark):
     assert got == {x: root(x) for x in list(parent)}
 
 
-def brute_mix(docs, share, weights, max_epochs, seed):
-    """Budgets by stepwise filling; documents by sorting each leaf."""
+def brute_mix(docs, share, weights, max_epochs, seed, cuts=None):
+    """Budgets by stepwise filling; documents by sorting each leaf. ``cuts`` gets the tokens of documents that the budget ends in."""
     import hashlib
     from collections import defaultdict
 
@@ -255,6 +255,8 @@ def brute_mix(docs, share, weights, max_epochs, seed):
         rest, through = b - epochs * total, 0
         key = lambda i: (int(hashlib.md5(f"{seed}:{epochs}:{i}".encode()).hexdigest()[:15], 16), i)  # noqa: B023, E731
         for i, n in sorted(rows, key=lambda r: key(r[0])):
+            if cuts is not None and through < rest < through + n:
+                cuts[i] = rest - through
             through += n
             copies[i] = epochs + (1 if rest > 0 and through <= rest else 0)
     return copies
@@ -266,11 +268,47 @@ def test_mix_matches_brute_force(spark, share, max_epochs, weights):
     docs = [(i, " ".join("w" for _ in range(rng.choice([1, 5, 50, 400]))), rng.choice(["en", "de", None]), rng.choice(["s0"] * 6 + [f"s{k}" for k in range(9)] + [None])) for i in range(900)]
     docs += [(9000, None, "en", "s1"), (9001, "", "fr", "empty")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(6)
-    got = {r.doc_id: r.copies for r in mix(df, share, weights, max_epochs, seed=3).collect()}
-    assert got == brute_mix(docs, share, weights, max_epochs, 3)
+    rows, cuts = mix(df, share, weights, max_epochs, seed=3).collect(), {}
+    assert {r.doc_id: r.copies for r in rows} == brute_mix(docs, share, weights, max_epochs, 3, cuts)
+    assert {r.doc_id: r.cut_tokens for r in rows if r.cut_tokens} == cuts
     assert mix(df.limit(0), share, weights, max_epochs).count() == 0
 
 
+def test_mix_takes_the_whole_budget(spark, monkeypatch):
+    """To the token; with clashing columns, hot and cold leaves, and leaves looked up by shuffle."""
+    from tessera.llm import skew
+
+    monkeypatch.setattr(skew, "HOT_GROUPS", 20)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(6)
+    docs = [(i, " ".join("w" for _ in range(rng.choice([1, 7, 60]))), rng.choice(["en", "de"]), rng.choice(["s0"] * 200 + [f"s{k}" for k in range(150)])) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5)
+    for c in ("leaf", "rest", "n_docs", "key", "id", "cut_key", "domain", "copies"):
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    try:
+        rows, cuts = mix(df, 0.5, {}, 2, seed=3).collect(), {}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {r.doc_id: r.copies for r in rows} == brute_mix(docs, 0.5, {}, 2, 3, cuts)
+    assert all((r.leaf, r.rest, r.n_docs, r.key, r.id) == ("own leaf", "own rest", "own n_docs", "own key", "own id") for r in rows)
+    budget = sum(t.count(" ") + 1 for _, t, *_ in docs) // 2
+    # A leaf's budget is whole tokens: at most one is lost for each.
+    leaves = len({(r.domain, r.lang, r.source) for r in rows})
+    assert budget - leaves <= sum(r.copies * r.tokens + r.cut_tokens for r in rows) <= budget
+
+
+def test_mix_repeated_and_missing_ids(spark):
+    docs = [(7, "a b c d", "en", "s")] * 2 + [(None, "a b", "en", "s")] * 2 + [(k, "w " * 9 + "w", "en", "s") for k in range(20, 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    rows = mix(df, 0.6, {}, 1).collect()
+    assert len(rows) == len(docs)
+    for i in (7, None):
+        assert len({r.copies for r in rows if r.doc_id == i}) == 1
+    taken = sum(r.copies * r.tokens + r.cut_tokens for r in rows)
+    assert 0 <= int(0.6 * 212) - taken < 8
+
+
 def test_word_count(spark):
     df = spark.createDataFrame([("a b c",), ("",), (None,), (" ",)], "t string")
     assert [r[0] for r in df.select(word_count(df.t)).collect()] == [3, 0, 0, 2]
