@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise, shared_dir
+from ..sources.shared import materialise, shared_dir, written
 
 
 def reach(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -21,6 +21,9 @@ def reach(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> Data
     spark, folder = seeds.sparkSession, shared_dir(seeds.sparkSession)
     schema = "id string"
     steps = edges.select("from_id", "to_id")
+    if rounds is None or rounds > 1:
+        # Each round joins the edges: what they are made of is read once.
+        steps = written(steps)
     frontier = materialise(seeds.select("id").where("id is not null").distinct(), f"{folder}/round=0")
     turn = 0
     while (rounds is None or turn < rounds) and not frontier.isEmpty():

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import canonical_name, file_part
+from ..sources.shared import materialise
+from .skew import lookup
 
 
 def _candidates(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], name: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -27,8 +29,10 @@ def _candidates(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], name
 
 
 def _joined(placeholders: DataFrame, local: DataFrame, everywhere: DataFrame, imported: DataFrame, importers: DataFrame) -> DataFrame:
-    out = placeholders.join(local, ["file", "name"], "left").join(everywhere, "name", "left")
-    return out.join(imported, ["from_file", "name"], "left").join(importers, "from_file", "left")
+    """``placeholders`` with what is known of their names; a name like ``new`` may be that of very many."""
+    here, there = F.struct("file", "name").alias("here"), F.struct(F.col("from_file").alias("file"), "name")
+    rows = materialise(placeholders.withColumn("here", here).withColumn("there", there))
+    return lookup(rows, (local.select(here, "n_local", "local_id"), "here"), (everywhere, "name"), (imported.select(there.alias("there"), "n_imported", "imported_id"), "there"), (importers, "from_file"))
 
 
 def resolve_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def session() -> SparkSession:
 def _open(spark: SparkSession, path: str | None) -> GraphStore:
     path = path or os.path.join(os.getcwd(), DB_NAME)
     if not GraphStore.exists(spark, path):
-        raise SystemExit(f"Graph database not found at {path}. Run 'index --output {path}' first.")
+        raise SystemExit(f"no graph at {path}; make one with 'index --output {path}'")
     return GraphStore(spark, path)
 
 

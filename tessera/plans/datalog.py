@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import materialise
+from ..sources.shared import materialise, written
 
 MAX_ROUNDS = 1000
 
@@ -287,7 +287,7 @@ def _type_of(values: list[object]) -> T.DataType:
 
 class _Compiler:
     def __init__(self, spark: SparkSession, stored: dict[str, DataFrame]) -> None:
-        self.spark, self.stored = spark, stored
+        self.spark, self.stored = spark, dict(stored)
         self.done: dict[str, DataFrame] = {}
 
     def data(self, rows: list[list[object]], names: list[str]) -> DataFrame:
@@ -430,6 +430,10 @@ class _Compiler:
                 raise DatalogError(f"{n} aggregates in recursion")
             if any(r.body[k].negated for r, k in loops[n]):
                 raise DatalogError(f"{n} is negated in recursion")
+        # Each round joins the stored relations of recursive rules: what they are made of is read once.
+        for atom in (a for n in names for r, _ in loops[n] for a in r.body):
+            if atom.kind == "stored" and atom.name in self.stored:
+                self.stored[atom.name] = written(self.stored[atom.name])
         base = {n: [r for r in rules[n] if not r.body or not any(a.kind == "rule" and a.name in names for a in r.body)] for n in names}
         delta = {n: materialise(self.united([self.evaluate(r) for r in base[n]])) for n in names if base[n]}
         if not delta:

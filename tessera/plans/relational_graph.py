@@ -124,20 +124,19 @@ def raw_functions(t: Tables) -> DataFrame:
 
 
 def raw_placeholders(t: Tables, edge_type: str, qualified: bool = True) -> DataFrame:
-    """Placeholder edges between parts through line items, and imports between brands' files."""
+    """Placeholder edges between parts through line items, and imports between brands' files: one for each supplier."""
     count = t.part.agg(F.count(F.lit(1)).alias("n"))
     caller = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("from_brand"))
     callee = t.part.select(F.col("p_partkey").alias("callee"), F.col("p_name").alias("name"), F.col("p_brand").alias("to_brand"))
-    pairs = t.lineitem.crossJoin(F.broadcast(count)).select("l_partkey", "l_suppkey", "l_linenumber", (F.col("l_orderkey") % F.col("n")).alias("callee"))
+    pairs = t.lineitem.crossJoin(F.broadcast(count)).select("l_partkey", "l_linenumber", (F.col("l_orderkey") % F.col("n")).alias("callee"))
     pairs = pairs.join(caller, "l_partkey").join(callee, "callee")
     source = F.concat(_file(F.col("from_brand")), F.lit("#"), F.col("l_partkey").cast("string"), F.lit(":1"))
     target = F.concat(_file(F.col("from_brand")), F.lit("::"), F.col("name"))
     if qualified:
         target = F.when(F.col("l_linenumber") == 3, F.concat(_file(F.col("from_brand")), F.lit("::m::"), F.col("name"))).when(F.col("l_linenumber") == 4, F.col("name")).otherwise(target)
-    draw = (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 997
-    open_file = ~F.col("from_brand").endswith("1") & ~F.col("from_brand").endswith("2")
     item = F.concat(_file(F.col("to_brand")), F.lit("#"), F.col("callee").cast("string"), F.lit(":1"))
-    imports = pairs.where(open_file & (draw < 2)).select(_file(F.col("from_brand")).alias("from_id"), F.when(draw == 0, _file(F.col("to_brand"))).otherwise(item).alias("to_id"), F.lit("imports").alias("edge_type"))
+    users = t.supplier.select(F.col("s_suppkey").alias("l_partkey"), F.col("s_nationkey").cast("long").alias("callee"), "s_acctbal").join(caller, "l_partkey").join(callee, "callee")
+    imports = users.select(_file(F.col("from_brand")).alias("from_id"), F.when(F.col("s_acctbal") < 2000, _file(F.col("to_brand"))).otherwise(item).alias("to_id"), F.lit("imports").alias("edge_type"))
     return pairs.select(source.alias("from_id"), target.alias("to_id"), F.lit(edge_type).alias("edge_type")).unionByName(imports).distinct()
 
 
@@ -147,12 +146,11 @@ def _raw_sql(qualified: bool) -> str:
         target = f"CASE l_linenumber WHEN 3 THEN file || '::m::' || name WHEN 4 THEN name ELSE {target} END"
     return f"""fns AS (SELECT './' || replace(p_brand, '#', '') || '.rs' AS file, './' || replace(p_brand, '#', '') || '.rs#' || p_partkey || ':1' AS id, p_name AS name,
   CASE p_size % 4 WHEN 0 THEN 'pub::' WHEN 1 THEN 'pub::test::' ELSE '' END || p_name AS payload FROM part),
-pairs AS NOT MATERIALIZED (SELECT './' || replace(a.p_brand, '#', '') || '.rs' AS file, a.p_brand AS from_brand, './' || replace(b.p_brand, '#', '') || '.rs' AS to_file, l_partkey, l_linenumber, b.p_partkey AS callee, b.p_name AS name,
-  (l_partkey * 31 + l_suppkey) % 997 AS draw
+pairs AS NOT MATERIALIZED (SELECT './' || replace(a.p_brand, '#', '') || '.rs' AS file, l_partkey, l_linenumber, b.p_name AS name
   FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_orderkey % (SELECT count(*) FROM part)),
 raw AS (SELECT DISTINCT file, file || '#' || l_partkey || ':1' AS from_id, {target} AS to_id FROM pairs),
-imports AS (SELECT DISTINCT file AS from_file, CASE WHEN draw = 0 THEN to_file ELSE to_file || '#' || callee || ':1' END AS imp
-  FROM pairs WHERE draw < 2 AND from_brand NOT LIKE '%1' AND from_brand NOT LIKE '%2')"""
+imports AS (SELECT DISTINCT './' || replace(a.p_brand, '#', '') || '.rs' AS from_file, './' || replace(b.p_brand, '#', '') || '.rs' || CASE WHEN s_acctbal < 2000 THEN '' ELSE '#' || b.p_partkey || ':1' END AS imp
+  FROM supplier JOIN part a ON a.p_partkey = s_suppkey JOIN part b ON b.p_partkey = s_nationkey)"""
 
 
 def resolve_sql(calls: bool) -> str:

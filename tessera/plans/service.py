@@ -7,6 +7,7 @@ import os
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def clean_script(script: str, limit: int) -> str:
         for m in MUTATIONS:
             after = norm.removeprefix(m)
             if norm.startswith(m) and (not after or after[0].isspace() or after[0] == "["):
-                raise InvalidParams(f"Script may not contain mutation directive {m}")
+                raise InvalidParams(f"scripts only read: {m} is refused")
         after = norm.removeprefix(":limit")
         if not norm.startswith(":limit") or after and not (after[0].isspace() or after[0].isdigit()):
             kept.append(line)
@@ -79,7 +80,7 @@ class Service:
     def call(self, tool: str, args: dict | None = None) -> dict:
         """Result of a tool. Errors: FileNotFoundError without a graph, InvalidParams, KeyError for no such tool."""
         if tool != "reindex" and self._store is None and not GraphStore.exists(self.spark, self.db_path):
-            raise FileNotFoundError(f"Graph database not found at {self.db_path}")
+            raise FileNotFoundError(f"no graph at {self.db_path}; index a project first")
         if tool not in TOOLS:
             raise KeyError(f"Unknown tool: {tool}")
         return getattr(self, tool)(args or {})
@@ -136,8 +137,11 @@ class Service:
 
     def trait_implementors(self, args: dict) -> dict:
         name = _text(args, "trait_name")
-        found = _triples(Q.trait_implementors(self.store.nodes, self.store.edges, name))
-        return {"trait_name": name, "implementors": found, "count": len(found)}
+        try:
+            found, note = _triples(Q.trait_implementors(self.store.nodes, self.store.edges, name)), {}
+        except PySparkException as e:
+            found, note = [], {"note": f"The graph couldn't be asked, so implementors may be missing: {e.getCondition() or type(e).__name__}"}
+        return {"trait_name": name, "implementors": found, "count": len(found)} | note
 
     def module_graph(self, args: dict) -> dict:
         rows = [r.asDict() for r in Q.module_graph(self.store.nodes, self.store.edges, _text(args, "root", False)).collect()]
@@ -146,9 +150,9 @@ class Service:
     def reindex(self, args: dict) -> dict:
         root = _text(args, "path", False) or os.getcwd()
         if not os.path.exists(root):
-            return {"error": "Project path does not exist", "path": root}
+            return {"error": "there is no such folder", "path": root}
         index(self.spark, root, self.store)
-        return {"ok": True, "message": "Reindex complete", "path": root, "db_path": self.db_path, "node_count": self.store.node_count(), "edge_count": self.store.edge_count(), "indexed_at": int(time.time())}
+        return {"ok": True, "message": "the project is indexed", "path": root, "db_path": self.db_path, "node_count": self.store.node_count(), "edge_count": self.store.edge_count(), "indexed_at": int(time.time())}
 
 
 def _schema(required: tuple[str, ...] = (), **properties: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,12 +17,14 @@ _MADE: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """URI of a new empty folder under ``spark.checkpoint.dir``.
 
-    A temporary folder of this machine serves only where that setting is absent, as in
-    local tests; a cluster names a shared one.
+    A temporary folder of this machine serves only where that setting is absent and
+    Spark runs in one process, as in tests; a cluster must name a shared one.
     """
     global _FALLBACK
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if _FALLBACK is None:
             _FALLBACK = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, _FALLBACK, ignore_errors=True)
@@ -41,6 +44,12 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a table in files, else its materialised rows."""
+    plain = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return df if plain else materialise(df)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`materialise` wrote, in whatever store holds it."""
     jvm = spark.sparkContext._jvm
