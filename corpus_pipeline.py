@@ -26,14 +26,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest doc_id stays."""
-    dropped = ngram_jaccard_join(docs).where("class_id != doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the one with the smallest doc_id stays.
+
+    A document without an id stays only where no document of its group has one. Rows that
+    repeat an id are told apart by their texts.
+    """
+    found = ngram_jaccard_join(docs).where(~F.col("class_id").eqNullSafe(F.col("doc_id")))
+    dropped = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    return docs.join(dropped, same, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of all tokens, shared by the target weights; a document is taken once at most."""
-    return mix(docs, share=0.9, max_epochs=1).where("copies > 0").select(*docs.columns)
+    """Nine tenths of all tokens, shared by the target weights; a document is taken once at most.
+
+    Documents stay whole, so the one that a leaf's budget ends in is taken, too.
+    """
+    return mix(docs, share=0.9, max_epochs=1).where("copies > 0 or cut_tokens > 0").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -427,14 +427,15 @@ def _cells(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> Dat
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies``: one row per document.
+    """``doc_id, class_id, n_links, n_copies, text_hash``: one row per document.
 
     Words are the lower-cased text split at white space. Two documents are linked if the
     Jaccard similarity of their sets of n-word shingles is ``threshold`` or more; a
     document of fewer than n words has all its words as its one shingle. ``class_id`` is
     the smallest id that links lead to, ``n_links`` the number of other documents that the
     document is linked with, ``n_copies`` how many have exactly its shingles (itself
-    included). Ids may have any type that has an order.
+    included). ``text_hash`` is the xxhash64 of the text, null as empty; it tells rows that
+    repeat an id apart. Ids may have any type that has an order.
 
     Documents without words (null, empty, white space) are copies of each other. Rows with
     a null id take part like all others; ``class_id`` is null if only such rows are linked.
@@ -467,5 +468,5 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_WORDS, threshold: float = THR
     result = classes.join(told.withColumnRenamed("id", "number"), "number", "left")
     own = F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep"))
     result = materialise(result.select("digest", "copies", own.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    shown = attach(signed.select("id", "digest"), result, "digest", "copies", signed.count())
-    return shown.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("copies").alias("n_copies"))
+    shown = attach(signed.select("id", "digest", "h"), result, "digest", "copies", signed.count())
+    return shown.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("copies").alias("n_copies"), F.col("h").alias("text_hash"))

@@ -40,8 +40,8 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     assert len(kept) < len(ids)
     groups = brute_join([(r[0], r[1]) for r in kept])
     kept = [r for r in kept if groups[r[0]][0] == r[0]]
-    copies = brute_mix(kept, 0.9, WEIGHTS, 1, 11)
-    kept = [r for r in kept if copies[r[0]]]
+    copies = brute_mix(kept, 0.9, WEIGHTS, 1, 11, cuts := {})
+    kept = [r for r in kept if copies[r[0]] or r[0] in cuts]
     lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
     want = {}
     for i, text, *_ in kept:
@@ -56,3 +56,30 @@ def test_stages_keep_columns(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf_dir).columns == docs.columns, name
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
+
+
+def test_pipeline_on_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_on_repeated_and_missing_ids(spark, tmp_path):
+    """Without labels nothing is rejected; each text is kept once, whatever its id is."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, three, long = text(60), text(60), text(60), text(20_000)
+    docs = [(1, one), (1, two), (1, one), (2, one.upper()), (2, two + " end"), (None, three), (None, three + " end"), (None, one), (3, three + " more"), (4, None), (4, ""), (5, long), (6, long + " end")]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in docs]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        table = stage(spark, table, str(tmp_path))
+        kept[name] = sorted(((r.doc_id, r.text) for r in table.collect()), key=str)
+    assert len(kept["quality"]) == len(docs)
+    want = [(2, one.upper()), (1, two), (2, two + " end"), (None, three), (None, three + " end"), (3, three + " more"), (4, None), (4, ""), (5, long), (6, long + " end")]
+    assert kept["exact_dedup"] == sorted(want, key=str)
+    gone = [(2, two + " end"), (None, three), (None, three + " end"), (6, long + " end")]
+    assert kept["ngram_join"] == sorted([r for r in want if r not in gone], key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
