@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
@@ -11,14 +11,16 @@ from ..sources.shared import materialise
 HOT_GROUPS = 5000
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, on: Column | None = None) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, merge: bool = False) -> DataFrame:
     """Left join ``rows`` with ``groups`` (unique in ``key``) without a hot task.
 
     ``groups[size]`` bounds how many rows have the key and ``total`` is the number of
     rows. Groups over ``total / HOT_GROUPS`` number fewer than HOT_GROUPS, a bound that
     holds at any scale, so these are broadcast; for the others a shuffled join gets at
     most ``total / HOT_GROUPS`` rows for a key. ``groups`` should be a written table, as
-    it is read twice. Null keys match nothing and stay.
+    it is read twice. Null keys match nothing and stay. ``merge``: groups grow with the
+    input, so they are joined by shuffle at any size, and small inputs show the plan of
+    large ones.
     """
     limit = max(total // HOT_GROUPS, 1)
     cols = [c for c in groups.columns if c != key]
@@ -29,7 +31,9 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     cold = tagged.withColumn("__cold", F.when(F.col("__hot").isNull(), F.col(key)))
     spread = F.when(F.col("__cold").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0))
     cold = cold.withColumn("__spread", spread)
-    out = cold.join(rest.withColumnRenamed(key, "__key").withColumn("__zero", F.lit(0).cast("long")), (F.col("__cold") == F.col("__key")) & (F.col("__spread") == F.col("__zero")), "left")
+    rest = rest.withColumnRenamed(key, "__key").withColumn("__zero", F.lit(0).cast("long"))
+    rest = rest.hint("merge") if merge else rest
+    out = cold.join(rest, (F.col("__cold") == F.col("__key")) & (F.col("__spread") == F.col("__zero")), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in cols])
 
 
