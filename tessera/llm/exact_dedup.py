@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The digests are taken before the join, so a caller who drops the text shuffles none of it.
     rows = docs.select(*keep, digest(content).alias("__digest"), F.sha2(content, 256).alias("__sha256"))
     groups = groups.toDF("__digest", "__variants", "__keep", "__size")
-    found = attach(rows, groups, "__digest", "__size", docs.count())
+    found = attach(rows, groups, "__digest", "__size", docs.count(), merge=True)
     if groups.where("__variants > 1").limit(1).count():
         found = _by_content(found, id_col, text_col)
     keep_id = F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__keep"))

@@ -281,7 +281,7 @@ def forest_nodes(reps: DataFrame, depth: int, threshold: float = THRESHOLD, reca
     """``node, id``: the nodes where each class is matched, as far as others are there; ``depth`` is that of ``prefixes``."""
     trees = reps.select("id", F.explode(F.arrays_zip("prefixes", "tails")).alias("t")).select("id", F.col("t.prefixes").alias("prefix"), F.col("t.tails").alias("tail"))
     shared = materialise(trees.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = materialise(attach(trees, shared, "prefix", "n", reps.count() * TREES).where("n is not null"))
+    rows = materialise(attach(trees, shared, "prefix", "n", reps.count() * TREES, merge=True).where("n is not null"))
     miss = [math.log1p(-(threshold ** min(d, DEPTH))) for d in (depth, depth + 1, depth + 2)]
     if TREES * miss[1] > math.log(1 - recall):
         return rows.select(F.col("prefix").alias("node"), "id")  # no longer prefix finds enough
