@@ -1,9 +1,14 @@
 """Token counts: pieces once per distinct pre-token, joined to per-document frequencies.
 
-Nothing is shuffled. Each block of documents is reduced to (document, pre-token,
-frequency); the pieces of the block's distinct pre-tokens come from a bounded table that a
-Python worker keeps, so one that recurs is counted once; the two are joined on the pre-token's position
-and summed by document. Ids of a document never exist.
+1. Blocks of documents are cut where no piece crosses and written, a row each: the block's
+   distinct pre-tokens and, per document, which of them it has and how often.
+2. The distinct pre-tokens of all blocks are counted, each once in the whole run.
+3. Each block's pre-tokens look their counts up. One that nearly all blocks have is no hot
+   task, as such groups are few and broadcast.
+4. A block's counts meet its frequencies, which are multiplied and summed by document.
+
+Ids of a document never exist. What is shuffled grows with the distinct pre-tokens of
+blocks, not with the pre-tokens or (document, pre-token) pairs.
 """
 
 from __future__ import annotations
@@ -16,18 +21,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .pretokens import Chunked, ChunkTokenizer, ValueTable, chunk_block, text_blocks
+from .pretokens import Chunked, ChunkTokenizer, chunk_block, strings, text_blocks
 from .sentencepiece_codec import PieceModel, word_block
+from .shared import materialise
+from .skew import attach
 
-#: Bytes of text handled at a time: bounds a worker's memory whatever the batch.
-BLOCK_BYTES = 4_000_000
+#: Bytes of text in a block: the larger, the fewer pre-tokens are in several; it bounds a worker's memory whatever the batch.
+BLOCK_BYTES = 16_000_000
 
 
 class JsonCounter:
-    """Chunks and their pieces for a tokenizers file."""
-
-    cut = staticmethod(chunk_block)
+    """Pieces of chunks by a tokenizers file."""
 
     def __init__(self, path: str) -> None:
         self.source = ChunkTokenizer(path)
@@ -37,9 +43,7 @@ class JsonCounter:
 
 
 class PieceCounter:
-    """Words and their pieces for a sentencepiece file."""
-
-    cut = staticmethod(word_block)
+    """Pieces of words by a sentencepiece file."""
 
     def __init__(self, path: str) -> None:
         self.model = PieceModel(path)
@@ -49,26 +53,69 @@ class PieceCounter:
 
 
 @functools.lru_cache(maxsize=1)
-def counter(path: str) -> tuple[JsonCounter | PieceCounter, ValueTable]:
-    """A file's counter and its table of counts; a worker keeps them from task to task."""
-    source = PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+def counter(path: str) -> JsonCounter | PieceCounter:
+    """A file's counter; a worker keeps it from task to task."""
+    return PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+
+
+def _pack(values: np.ndarray) -> pa.Array:
+    return pa.array([pa.compress(values.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary())
+
+
+def _unpack(packed: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[0].as_py(), 4 * n, "zstd", asbytes=True), "<i4")
+
 
-    def make(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return source.pieces(keys), np.ones(len(keys), np.int64)
+def frequencies(block: Chunked, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pre-tokens that each document has, which these are, how often each), by document and place in ``block.distinct``."""
+    width = max(len(block.distinct), 1)
+    pair, times = np.unique(np.repeat(block.order, np.diff(block.starts)) * width + block.at, return_counts=True)
+    doc, unit = np.divmod(pair, width)
+    return np.bincount(doc, minlength=n_docs), unit, times
 
-    return source, ValueTable(make)
 
+def _single(values: pa.Array) -> pa.Array:
+    """One list of all ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def count_block(texts: pa.Array, source: JsonCounter | PieceCounter, table: ValueTable) -> np.ndarray:
-    """Tokens of each text."""
-    block: Chunked = source.cut(texts)
-    at, _ = table.find(block.distinct)
-    pieces = table.pool[at].astype(np.int64)
-    # (document, pre-token) frequencies, then the join with the pieces and the sum.
-    doc = np.repeat(block.order, np.diff(block.starts))
-    pair, frequency = np.unique(doc * max(len(pieces), 1) + block.at, return_counts=True)
-    doc, at = np.divmod(pair, max(len(pieces), 1))
-    return np.bincount(doc, weights=frequency * pieces[at], minlength=len(texts)).astype(np.int64)
+
+def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """A row per block: ``block``, its documents (``keep`` and ``n_bytes``), their frequencies and the distinct pre-tokens.
+
+    Frequencies are packed: units are numbered as they appear, so those of a document differ
+    little from one to the next.
+    """
+    fields = [T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema] + [T.StructField("n_bytes", T.LongType())]
+    packed = [T.StructField(c, T.BinaryType()) for c in ("sizes", "units", "times")]
+    schema = T.StructType([T.StructField("docs", T.ArrayType(T.StructType(fields))), *packed, T.StructField("distinct", T.ArrayType(T.StringType()))])
+    cut = word_block if path.endswith(".model") else chunk_block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in text_blocks(batch.column(text_col), BLOCK_BYTES):
+                block = cut(texts)
+                sizes, units, times = frequencies(block, len(texts))
+                own = pa.StructArray.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), pc.binary_length(texts)], names=[*keep, "n_bytes"])
+                columns = [_single(own), _pack(sizes), _pack(np.diff(units, prepend=0)), _pack(times), _single(pa.array(block.distinct, pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                at += len(texts)
+
+    made = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return materialise(made.withColumn("block", F.monotonically_increasing_id()))
+
+
+def piece_table(table: DataFrame, path: str) -> DataFrame:
+    """``unit, n_blocks, pieces``: each distinct pre-token once, and how many blocks have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pieces = counter(path).pieces(strings(batch.column(0)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces.astype(np.int64))], names=["unit", "n_blocks", "pieces"])
+
+    units = table.select(F.explode("distinct").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return materialise(units.mapInArrow(run, "unit string, n_blocks bigint, pieces bigint"))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -83,16 +130,36 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     """
     names = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    schema = docs.select(*keep).withColumn("n_bytes", F.lit(0).cast("long")).withColumn("n_tokens", F.lit(0).cast("long")).schema
+    table = frequency_table(docs, path, keep, text_col)
+    counted = piece_table(table, path)
+    total = counted.agg(F.sum("n_blocks")).first()[0] or 0
+    found = attach(table.select("block", F.posexplode("distinct").alias("k", "unit")), counted, "unit", "n_blocks", total, merge=True)
+    heads = table.select("block", F.lit(-1).alias("k"), F.lit(0).cast("long").alias("pieces"), F.struct("docs", "sizes", "units", "times").alias("head"))
+    none = F.lit(None).cast(heads.schema["head"].dataType).alias("head")
+    # A block's head, then the pieces of its pre-tokens in the order that the head numbers them by.
+    rows = found.select("block", "k", "pieces", none).unionByName(heads).repartition("block").sortWithinPartitions("block", "k")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+
+    def sums(head: pa.StructArray, pieces: np.ndarray) -> pa.RecordBatch:
+        own, *packed = head.flatten()
+        own = own.flatten()
+        sizes = _unpack(packed[0], len(own))
+        units, times = (_unpack(p, int(sizes.sum())).astype(np.int64) for p in packed[1:])
+        n_tokens = np.bincount(np.repeat(np.arange(len(own)), sizes), weights=times * pieces[np.cumsum(units)], minlength=len(own)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*own.flatten(), pa.array(n_tokens)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, table = counter(path)
+        head, parts = None, []
         for batch in batches:
-            at = 0
-            for texts in text_blocks(batch.column(text_col), BLOCK_BYTES):
-                n_tokens, n_bytes = count_block(texts, source, table), pc.binary_length(texts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), n_bytes, pa.array(n_tokens)], names=[*keep, "n_bytes", "n_tokens"])
-                at += len(texts)
-
-    out = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+            pieces, start = batch.column("pieces").to_numpy(), 0
+            for at in [*np.flatnonzero(batch.column("k").to_numpy() < 0).tolist(), batch.num_rows]:
+                parts.append(pieces[start:at])
+                if at < batch.num_rows:
+                    if head is not None:
+                        yield sums(head, np.concatenate(parts))
+                    head, parts = batch.column("head").slice(at, 1), []
+                start = at + 1
+        if head is not None:
+            yield sums(head, np.concatenate(parts))
+
+    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
