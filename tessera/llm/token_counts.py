@@ -1,11 +1,13 @@
 """Token counts: pieces once per distinct pre-token, joined to per-document frequencies.
 
 1. Blocks of documents are cut where no piece crosses and written, a row each: the block's
-   distinct pre-tokens and, per document, which of them it has and how often.
-2. The distinct pre-tokens of all blocks are counted, each once in the whole run.
-3. Each block's pre-tokens look their counts up. One that nearly all blocks have is no hot
-   task, as such groups are few and broadcast.
-4. A block's counts meet its frequencies, which are multiplied and summed by document.
+   distinct pre-tokens in the order of their hashes and, per document, which of them it has
+   and how often.
+2. Blocks send their pre-tokens to buckets by ranges of hashes. A bucket counts each of its
+   distinct pre-tokens once, so each is counted once in the whole run, and sends the counts
+   back. A block lists a pre-token once, so none is in more rows than there are blocks.
+3. A block's counts, in the order of buckets, are those of its pre-tokens in order. They are
+   multiplied with its frequencies and summed by document.
 
 Ids of a document never exist. What is shuffled grows with the distinct pre-tokens of
 blocks, not with the pre-tokens or (document, pre-token) pairs.
@@ -17,6 +19,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,10 +29,11 @@ from pyspark.sql import types as T
 from .pretokens import Chunked, ChunkTokenizer, chunk_block, strings, text_blocks
 from .sentencepiece_codec import PieceModel, word_block
 from .shared import materialise
-from .skew import attach
 
 #: Bytes of text in a block: the larger, the fewer pre-tokens are in several; it bounds a worker's memory whatever the batch.
 BLOCK_BYTES = 16_000_000
+#: Pre-tokens of blocks in a bucket, from half as many to about as many.
+BUCKET_UNITS = 500_000
 
 
 class JsonCounter:
@@ -79,12 +83,12 @@ def _single(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """A row per block: ``block``, its documents (``keep`` and ``n_bytes``), their frequencies and the distinct pre-tokens.
+def hashes(units: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(units, dtype=object), categorize=False) if units else np.zeros(0, np.uint64)
 
-    Frequencies are packed: units are numbered as they appear, so those of a document differ
-    little from one to the next.
-    """
+
+def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """A row per block: ``block``, its documents (``keep`` and ``n_bytes``), their frequencies, packed, and the distinct pre-tokens."""
     fields = [T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema] + [T.StructField("n_bytes", T.LongType())]
     packed = [T.StructField(c, T.BinaryType()) for c in ("sizes", "units", "times")]
     schema = T.StructType([T.StructField("docs", T.ArrayType(T.StructType(fields))), *packed, T.StructField("distinct", T.ArrayType(T.StringType()))])
@@ -95,27 +99,59 @@ def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str =
             at = 0
             for texts in text_blocks(batch.column(text_col), BLOCK_BYTES):
                 block = cut(texts)
-                sizes, units, times = frequencies(block, len(texts))
+                order = np.argsort(hashes(block.distinct), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                sizes, units, times = frequencies(Chunked(block.distinct, rank[block.at], block.starts, block.order), len(texts))
                 own = pa.StructArray.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), pc.binary_length(texts)], names=[*keep, "n_bytes"])
-                columns = [_single(own), _pack(sizes), _pack(np.diff(units, prepend=0)), _pack(times), _single(pa.array(block.distinct, pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                distinct = pa.array(block.distinct, pa.string()).take(pa.array(order))
+                yield pa.RecordBatch.from_arrays([_single(own), _pack(sizes), _pack(np.diff(units, prepend=0)), _pack(times), _single(distinct)], names=schema.names)
                 at += len(texts)
 
     made = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
     return materialise(made.withColumn("block", F.monotonically_increasing_id()))
 
 
-def piece_table(table: DataFrame, path: str) -> DataFrame:
-    """``unit, n_blocks, pieces``: each distinct pre-token once, and how many blocks have it."""
+def bucketed(table: DataFrame, bits: int) -> DataFrame:
+    """``bucket, block, units``: a block's pre-tokens by the first ``bits`` bits of their hashes; buckets without any have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                units = units.values
+                buckets, first = np.unique(hashes(strings(units)) >> np.uint64(64 - bits), return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(units)], pa.int32()), units)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(np.full(len(buckets), block)), lists], names=["bucket", "block", "units"])
+
+    return table.select("block", "distinct").mapInArrow(run, "bucket bigint, block bigint, units array<string>")
+
+
+def piece_lists(cells: DataFrame, path: str) -> DataFrame:
+    """``bucket, block, pieces``: for each row of ``bucket, block, units`` how many pieces its units have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            units = rows.column("units").flatten().dictionary_encode()
+            pieces = counter(path).pieces(strings(units.dictionary))[units.indices.to_numpy()]
+            offsets = np.r_[0, np.cumsum(pc.list_value_length(rows.column("units")).to_numpy())]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pieces, pa.int32()))
+            return pa.RecordBatch.from_arrays([rows.column("bucket"), rows.column("block"), lists], names=["bucket", "block", "pieces"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                pieces = counter(path).pieces(strings(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces.astype(np.int64))], names=["unit", "n_blocks", "pieces"])
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and b > a and held[0].column("bucket")[0].as_py() != bucket[a]:
+                    yield counted(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield counted(held)
 
-    units = table.select(F.explode("distinct").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n_blocks"))
-    return materialise(units.mapInArrow(run, "unit string, n_blocks bigint, pieces bigint"))
+    return cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket bigint, block bigint, pieces array<int>")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -131,13 +167,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     names = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in (docs.columns if carry is None else carry) if c not in names]
     table = frequency_table(docs, path, keep, text_col)
-    counted = piece_table(table, path)
-    total = counted.agg(F.sum("n_blocks")).first()[0] or 0
-    found = attach(table.select("block", F.posexplode("distinct").alias("k", "unit")), counted, "unit", "n_blocks", total, merge=True)
-    heads = table.select("block", F.lit(-1).alias("k"), F.lit(0).cast("long").alias("pieces"), F.struct("docs", "sizes", "units", "times").alias("head"))
+    entries = table.agg(F.sum(F.size("distinct"))).first()[0] or 0
+    found = piece_lists(bucketed(table, max(1, (entries // BUCKET_UNITS).bit_length())), path)
+    heads = table.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("array<int>").alias("pieces"), F.struct("docs", "sizes", "units", "times").alias("head"))
     none = F.lit(None).cast(heads.schema["head"].dataType).alias("head")
     # A block's head, then the pieces of its pre-tokens in the order that the head numbers them by.
-    rows = found.select("block", "k", "pieces", none).unionByName(heads).repartition("block").sortWithinPartitions("block", "k")
+    rows = found.select("block", "bucket", "pieces", none).unionByName(heads).repartition("block").sortWithinPartitions("block", "bucket")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def sums(head: pa.StructArray, pieces: np.ndarray) -> pa.RecordBatch:
@@ -151,9 +186,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts = None, []
         for batch in batches:
-            pieces, start = batch.column("pieces").to_numpy(), 0
-            for at in [*np.flatnonzero(batch.column("k").to_numpy() < 0).tolist(), batch.num_rows]:
-                parts.append(pieces[start:at])
+            lists, start = batch.column("pieces"), 0
+            pieces = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
+            for at in [*np.flatnonzero(batch.column("bucket").to_numpy() < 0).tolist(), batch.num_rows]:
+                parts.append(pieces[ends[start] : ends[at]])
                 if at < batch.num_rows:
                     if head is not None:
                         yield sums(head, np.concatenate(parts))

@@ -4,12 +4,13 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.pretokens import ChunkTokenizer, ValueTable, chunk_block, chunks, text_blocks
 from tessera.llm.queries import tokenizer
 from tessera.llm.sentencepiece_codec import PieceModel, decode_pieces, encode_pieces, piece_digests, words
-from tessera.llm.token_counts import count_tokens, frequency_table, piece_table
+from tessera.llm.token_counts import bucketed, count_tokens, frequency_table, piece_lists
 from tessera.llm.url_filter import _absolute, _without_dots, canonical_form, filter_urls
 
 ODD = ["one.\nTwo,\nthree \nfour\n five\n\nsix.\n", "a\nb c\nd", "", " ", "  ", "a  b", " lead", "trail ", "\n\n x", "tab\t\tx \n y", "don't 've 12,5", "<|endoftext|> a<|endoftext|>b <s> </s> <0x0A>", "é中文\U0001f600▁x▁▁", "a" * 300, "aa" * 50 + " " * 40, "\x00\x01\x1c \x1d a  b　 c", "!!! ??? ---- ====", "İstanbul ß"]
@@ -118,8 +119,15 @@ def test_pre_tokens_are_counted_once_over_all_blocks(spark):
     texts = [*ODD, None, *fuzz(60, 9)] * 2
     docs = spark.createDataFrame([(i, t, -i, "h", None) for i, t in enumerate(texts)], "doc_id long, text string, block long, head string, k long").repartition(6)
     table = frequency_table(docs, path, ["doc_id"])
-    counted = piece_table(table, path).collect()
-    assert table.count() > 3 and len({r.unit for r in counted}) == len(counted) and max(r.n_blocks for r in counted) == table.where("size(distinct) > 0").count()
+    cells = bucketed(table, 4)
+    owner = {}
+    for r in cells.collect():
+        assert all(owner.setdefault(u, r.bucket) == r.bucket for u in r.units)
+    assert table.count() > 3 and len(set(owner.values())) > 8
+    assert cells.select(F.sum(F.size("units"))).first()[0] == table.select(F.sum(F.size("distinct"))).first()[0] > len(owner)
+    units = {(r.bucket, r.block): r.units for r in cells.collect()}
+    source = ChunkTokenizer(path)
+    assert all(r.pieces == source.ids(units.pop((r.bucket, r.block)))[1].tolist() for r in piece_lists(cells, path).collect()) and not units
     lib = Tokenizer.from_file(path)
     rows = count_tokens(docs, path).collect()
     assert sorted((r.doc_id, r.text or "", r.block, r.head, r.k, r.n_tokens) for r in rows) == [(i, t or "", -i, "h", None, len(lib.encode(t or "", add_special_tokens=False))) for i, t in enumerate(texts)]
