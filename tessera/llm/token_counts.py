@@ -63,11 +63,14 @@ def counter(path: str) -> JsonCounter | PieceCounter:
 
 
 def _pack(values: np.ndarray) -> pa.Array:
-    return pa.array([pa.compress(values.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary())
+    """One compressed value: all low bytes, then all second bytes and so on, as the high ones are mostly zero."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary())
 
 
 def _unpack(packed: pa.Array, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed[0].as_py(), 4 * n, "zstd", asbytes=True), "<i4")
+    planes = np.frombuffer(pa.decompress(packed[0].as_py(), 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 def frequencies(block: Chunked, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,28 +116,44 @@ def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str =
 
 
 def bucketed(table: DataFrame, bits: int) -> DataFrame:
-    """``bucket, block, units``: a block's pre-tokens by the first ``bits`` bits of their hashes; buckets without any have no row."""
+    """``bucket, block, lengths, units``: a block's pre-tokens by the first ``bits`` bits of their hashes, with their bytes one after the other.
+
+    Buckets without any have no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                units = units.values
+                units = units.values.cast(pa.large_string())
+                if not len(units):
+                    continue
                 buckets, first = np.unique(hashes(strings(units)) >> np.uint64(64 - bits), return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(units)], pa.int32()), units)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(np.full(len(buckets), block)), lists], names=["bucket", "block", "units"])
+                cuts = np.r_[first, len(units)]
+                _, offsets, raw = units.buffers()
+                ends = np.frombuffer(offsets, "<i8")[units.offset : units.offset + len(units) + 1]
+                lengths = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.diff(ends), pa.int32()))
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(buckets), [None, pa.py_buffer(ends[cuts].tobytes()), raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(np.full(len(buckets), block)), lengths, cells], names=["bucket", "block", "lengths", "units"])
+
+    return table.select("block", "distinct").mapInArrow(run, "bucket bigint, block bigint, lengths array<int>, units binary")
+
 
-    return table.select("block", "distinct").mapInArrow(run, "bucket bigint, block bigint, units array<string>")
+def unpacked(lengths: pa.Array, units: pa.Array) -> pa.Array:
+    """The pre-tokens of all rows of ``lengths, units``."""
+    each = lengths.flatten().to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(each, dtype=np.int64)]
+    return pa.LargeStringArray.from_buffers(len(each), pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(units.to_pylist())))
 
 
 def piece_lists(cells: DataFrame, path: str) -> DataFrame:
-    """``bucket, block, pieces``: for each row of ``bucket, block, units`` how many pieces its units have."""
+    """``bucket, block, pieces``: for each row of :func:`bucketed` how many pieces its units have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            units = rows.column("units").flatten().dictionary_encode()
+            units = unpacked(rows.column("lengths"), rows.column("units")).dictionary_encode()
             pieces = counter(path).pieces(strings(units.dictionary))[units.indices.to_numpy()]
-            offsets = np.r_[0, np.cumsum(pc.list_value_length(rows.column("units")).to_numpy())]
+            offsets = np.r_[0, np.cumsum(pc.list_value_length(rows.column("lengths")).to_numpy())]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pieces, pa.int32()))
             return pa.RecordBatch.from_arrays([rows.column("bucket"), rows.column("block"), lists], names=["bucket", "block", "pieces"])
 
