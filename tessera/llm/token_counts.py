@@ -91,10 +91,10 @@ def hashes(units: list[str]) -> np.ndarray:
 
 
 def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """A row per block: ``block``, its documents (``keep`` and ``n_bytes``), their frequencies, packed, and the distinct pre-tokens."""
+    """A row per block: ``block``, its documents (``keep`` and ``n_bytes``), their frequencies and the distinct pre-tokens, packed."""
     fields = [T.StructField(f.name, f.dataType) for f in docs.select(*keep).schema] + [T.StructField("n_bytes", T.LongType())]
     packed = [T.StructField(c, T.BinaryType()) for c in ("sizes", "units", "times")]
-    schema = T.StructType([T.StructField("docs", T.ArrayType(T.StructType(fields))), *packed, T.StructField("distinct", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(T.StructType(fields))), *packed, T.StructField("n_units", T.LongType()), T.StructField("lengths", T.BinaryType()), T.StructField("distinct", T.BinaryType())])
     cut = word_block if path.endswith(".model") else chunk_block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +107,23 @@ def frequency_table(docs: DataFrame, path: str, keep: list[str], text_col: str =
                 rank[order] = np.arange(len(order))
                 sizes, units, times = frequencies(Chunked(block.distinct, rank[block.at], block.starts, block.order), len(texts))
                 own = pa.StructArray.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), pc.binary_length(texts)], names=[*keep, "n_bytes"])
-                distinct = pa.array(block.distinct, pa.string()).take(pa.array(order))
-                yield pa.RecordBatch.from_arrays([_single(own), _pack(sizes), _pack(np.diff(units, prepend=0)), _pack(times), _single(distinct)], names=schema.names)
+                distinct = [block.distinct[k] for k in order.tolist()]
+                lengths = np.fromiter((len(u.encode()) for u in distinct), np.int64, len(distinct))
+                raw = pa.array([pa.compress("".join(distinct).encode(), "zstd", asbytes=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([_single(own), _pack(sizes), _pack(np.diff(units, prepend=0)), _pack(times), pa.array([len(distinct)]), _pack(lengths), raw], names=schema.names)
                 at += len(texts)
 
     made = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
     return materialise(made.withColumn("block", F.monotonically_increasing_id()))
 
 
+def distinct_units(n: int, lengths: pa.Array, distinct: pa.Array) -> tuple[np.ndarray, pa.Buffer, list[str]]:
+    """(ends of the pre-tokens in their bytes, the bytes, the pre-tokens) of one row of :func:`frequency_table`."""
+    ends = np.r_[0, np.cumsum(_unpack(lengths, n), dtype=np.int64)]
+    raw = pa.decompress(distinct[0].as_py(), int(ends[-1]), "zstd")
+    return ends, raw, strings(pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), raw))
+
+
 def bucketed(table: DataFrame, bits: int) -> DataFrame:
     """``bucket, block, lengths, units``: a block's pre-tokens by the first ``bits`` bits of their hashes, with their bytes one after the other.
 
@@ -123,19 +132,17 @@ def bucketed(table: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, units in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                units = units.values.cast(pa.large_string())
-                if not len(units):
+            for at, (block, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if not n:
                     continue
-                buckets, first = np.unique(hashes(strings(units)) >> np.uint64(64 - bits), return_index=True)
-                cuts = np.r_[first, len(units)]
-                _, offsets, raw = units.buffers()
-                ends = np.frombuffer(offsets, "<i8")[units.offset : units.offset + len(units) + 1]
+                ends, raw, units = distinct_units(n, batch.column(2).slice(at, 1), batch.column(3).slice(at, 1))
+                buckets, first = np.unique(hashes(units) >> np.uint64(64 - bits), return_index=True)
+                cuts = np.r_[first, n]
                 lengths = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.diff(ends), pa.int32()))
                 cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(buckets), [None, pa.py_buffer(ends[cuts].tobytes()), raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(np.full(len(buckets), block)), lengths, cells], names=["bucket", "block", "lengths", "units"])
 
-    return table.select("block", "distinct").mapInArrow(run, "bucket bigint, block bigint, lengths array<int>, units binary")
+    return table.select("block", "n_units", "lengths", "distinct").mapInArrow(run, "bucket bigint, block bigint, lengths array<int>, units binary")
 
 
 def unpacked(lengths: pa.Array, units: pa.Array) -> pa.Array:
@@ -186,7 +193,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text_col: str =
     names = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in (docs.columns if carry is None else carry) if c not in names]
     table = frequency_table(docs, path, keep, text_col)
-    entries = table.agg(F.sum(F.size("distinct"))).first()[0] or 0
+    entries = table.agg(F.sum("n_units")).first()[0] or 0
     found = piece_lists(bucketed(table, max(1, (entries // BUCKET_UNITS).bit_length())), path)
     heads = table.select("block", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("array<int>").alias("pieces"), F.struct("docs", "sizes", "units", "times").alias("head"))
     none = F.lit(None).cast(heads.schema["head"].dataType).alias("head")
