@@ -109,6 +109,7 @@ def test_count_tokens(spark, name):
     rows = count_tokens(_docs(spark, texts), path).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in rows] == [(len((t or "").encode()), size(t or ""), size(t or "") > 1024) for t in texts]
     assert count_tokens(_docs(spark, texts).limit(0), path).count() == 0
+    assert [tuple(r) for r in count_tokens(_docs(spark, [None, ""]), path, carry=[]).collect()] == [(0, 0, False)] * 2
 
 
 def test_pre_tokens_are_counted_once_over_all_blocks(spark):
