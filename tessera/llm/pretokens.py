@@ -9,6 +9,7 @@ values of those that recur come from a bounded table.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -43,6 +44,17 @@ def text_blocks(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         at = end
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system.
+
+    A Python worker outlives its tasks, and what it keeps counts against its executor's limit.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def strings(array: pa.Array) -> list:
     """As ``to_pylist``, without making a scalar of each value first."""
     return array.to_numpy(zero_copy_only=False).tolist()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pretokens import Chunked, ValueTable, cut_block, gather, strings, sums, text_blocks
+from .pretokens import Chunked, ValueTable, cut_block, gather, give_back, strings, sums, text_blocks
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -277,7 +277,7 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.model = model_of(path)
-        self.table = ValueTable(self.model.encode_flat)
+        self.table = ValueTable(self.model.encode_flat, TABLE_WORDS)
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last one's end)."""
@@ -310,12 +310,15 @@ def _blocks(docs: DataFrame, names: list[str], fields: str, run, carry: list[str
             for texts in text_blocks(batch.column(text_col), BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in keep), *step(texts)], names=[*keep, *names])
                 at += len(texts)
+            give_back()
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(batches, schema)
 
 
 #: Bytes of text encoded at a time, and rows of ids decoded at a time.
-BLOCK_BYTES, DECODE_ROWS = 2_000_000, 256
+BLOCK_BYTES, DECODE_ROWS = 1_000_000, 256
+#: Words that a worker's table holds before it forgets all but those of the last block.
+TABLE_WORDS = 100_000
 
 
 def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

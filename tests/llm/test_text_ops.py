@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -267,3 +269,33 @@ def test_canonical_form(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "i int, url string")
     got = [r[0] for r in df.orderBy("i").select(canonical_form(df.url)).collect()]
     assert got == ["https://a.com/x?b=2", "https://a.com/x", "https://a.com/x?b=2", None]
+
+
+_WORKER = """
+import pickle, random, re, sys
+import pyarrow as pa
+run = pickle.load(open(sys.argv[1], "rb"))
+held = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+def task(seed, texts):
+    rng = random.Random(seed)
+    texts = [" ".join("%x" % rng.getrandbits(24) for _ in range(300)) for _ in range(texts)]
+    assert sum(b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))) == len(texts)
+task(0, 10)
+before = held()
+for seed in range(1, 4):
+    task(seed, 600)
+print(held() - before)
+"""
+
+
+def test_piece_worker_gives_memory_back(spark, monkeypatch, tmp_path):
+    """Between tasks a worker keeps little beside the model, however many words it has seen."""
+    from pyspark import cloudpickle
+
+    docs, caught = spark.createDataFrame([], "text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run))
+    piece_digests(docs, tokenizer("piece_bpe_32k.model"), carry=[])
+    (tmp_path / "run").write_bytes(cloudpickle.dumps(caught[0]))
+    done = subprocess.run([sys.executable, "-c", _WORKER, str(tmp_path / "run")], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 80
